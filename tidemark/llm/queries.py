@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
-from .common import documents
+from . import decontamination, mixing, secrets, sharding
+from .common import documents, table
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +18,16 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("spans", "items")
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mix_sources, op5_shard)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_mix_sources, op5_shard, op7_secret_scan)}
 
 
 #: SQL for the word pattern's runs; a null text has none.
@@ -60,5 +68,32 @@ FROM c
 """
 
 
+#: Words of ASCII digits, letters as lower case, and anything beyond ASCII, of a table's texts.
+ALNUM_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP3_SQL = f"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, {ALNUM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL
+), iw AS (
+  SELECT DISTINCT item, least(10, len(w)) AS k, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS win
+  FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS p FROM i WHERE len(w) > 0)
+), d AS (
+  SELECT doc_id, {ALNUM_WORDS} AS w FROM documents
+), dw AS (
+  SELECT doc_id, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS win
+  FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)
+), m AS (
+  SELECT dw.doc_id, dw.p, dw.k, iw.item FROM dw JOIN iw ON dw.k = iw.k AND dw.win = iw.win
+), h AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + k - 1)) AS q FROM m) GROUP BY doc_id
+), n AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n.n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(n.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": OP4_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op4_mix_sources": OP4_SQL}
