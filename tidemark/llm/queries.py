@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, secrets, sharding
+from . import decontamination, mixing, quality_gam, quality_rules, secrets, sharding
 from .common import documents, table
 
 
@@ -26,8 +26,16 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_scan(documents(spark, sf_dir))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op4_mix_sources, op5_shard, op7_secret_scan)}
+    return {f.__name__: f for f in (op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier)}
 
 
 #: SQL for the word pattern's runs; a null text has none.
