@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, quality_gam, quality_rules, secrets, sharding
+from . import decontamination, mixing, neardup, quality_gam, quality_rules, secrets, sharding
 from .common import documents, table
 
 
@@ -18,6 +18,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontamination(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).drop("spans", "items")
 
@@ -35,12 +39,36 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier)}
 
 
 #: SQL for the word pattern's runs; a null text has none.
 N_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
 
+#: Words between blanks with A-Z as lower case.
+FOLDED_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+
+OP2_SQL = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {FOLDED_WORDS} AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, len(w) >= 3 AS long, md5(array_to_string(list_slice(w, p, p + 2), ' ')) AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS p FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.long = b.long AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x
+)
+SELECT d.doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.y) AS component_id, d.doc_id = min(r.y) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.doc_id
+"""
+
 OP4_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, {N_WORDS} AS size,
@@ -104,4 +132,4 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN n ON d.doc_id = n.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL, "op4_mix_sources": OP4_SQL}
+    return {"op2_near_dedup": OP2_SQL, "op3_decontaminate": OP3_SQL, "op4_mix_sources": OP4_SQL}
