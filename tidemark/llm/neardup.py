@@ -193,7 +193,7 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Sketcher) -> DataFrame:
     """The pairs doc, hub whose whole sets are similar, as a, b."""
     blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = shared_table(pairs.join(blocks, "hub").select("doc", "hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
-    t = texts.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    t = needed(texts, dealt.select(F.col("doc").alias("id")).union(dealt.select("hub")).distinct())
     spokes = dealt.join(t, F.col("doc") == F.col("id")).select("hub", "block", F.lit(1).alias("role"), "doc", "text")
     heads = dealt.select("hub", "block").distinct().join(t, F.col("hub") == F.col("id")).select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("doc"), "text")
     rows = heads.unionByName(spokes).repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
@@ -216,6 +216,21 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Sketcher) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the texts whose id may be one of ids (a column id): those whose hash is set in a bit map.
+
+    The map has 8 bits or more per id, up to 2**27 (16 MB), in rows of 32,768 bits, and is broadcast; beyond that it lets more through.
+    What is left to shuffle follows the ids and not the texts.
+    """
+    bits = 1 << min(27, max(18, (8 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    rows = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("row")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("map"))
+    t = texts.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    t = t.withColumn("p", place).join(F.broadcast(rows), F.floor(F.col("p") / 32768) == F.col("row"))
+    byte = F.conv(F.hex(F.expr("substring(map, cast(p % 32768 as int) div 8 + 1, 1)")), 16, 10).cast("int")
+    return t.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0).select("id", "text")
+
+
 def common(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two sorted sets."""
     if len(a) < len(b):
@@ -339,7 +354,7 @@ def between(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataF
     m = m.join(reps.select("doc", "n", "sketch"), "doc").select("key", "block", "guest", "doc", "label", "hub", "n", "sketch")
     m = m.repartition("key", "block").sortWithinPartitions("key", "block", "guest")
 
-    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows that have a possible pair."""
         out: dict[tuple, tuple] = {}
         last = None
@@ -363,10 +378,10 @@ def between(members: DataFrame, labels: DataFrame, reps: DataFrame, texts: DataF
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], binary(np.stack([r[7] for r in rows]))], names=[c.split(" ")[0] for c in MEMBER.split(", ")])
 
-    some = shared_table(m.mapInArrow(needed, MEMBER).dropDuplicates(["key", "block", "doc"]))
+    some = shared_table(m.mapInArrow(wanted, MEMBER).dropDuplicates(["key", "block", "doc"]))
     if some.isEmpty():
         return some.select(F.col("doc").alias("a"), F.col("doc").alias("b"))
-    t = texts.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
+    t = needed(texts, some.select(F.col("doc").alias("id")).distinct())
     rows = some.join(t, F.col("doc") == F.col("id")).drop("id").repartition("key", "block").sortWithinPartitions("key", "block", "guest")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
