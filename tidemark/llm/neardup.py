@@ -28,7 +28,7 @@ set, and then has component null; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .arrowmap import map_text
-from .common import shared_table
+from .common import fresh, shared_table
 from .components import components
 
 ROWS, MISS = 5, 1e-6
@@ -216,19 +216,30 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Sketcher) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, text of the texts whose id may be one of ids (a column id): those whose hash is set in a bit map.
+def bit_map(ids: DataFrame, per_id: int) -> tuple[DataFrame, int]:
+    """A bit map of the hashes of ids (a column id), in rows of 32,768 bits to be broadcast, and its number of bits.
 
-    The map has 8 bits or more per id, up to 2**27 (16 MB), in rows of 32,768 bits, and is broadcast; beyond that it lets more through.
-    What is left to shuffle follows the ids and not the texts.
+    It has per_id bits or more for each id, up to 2**27 (16 MB); beyond that it lets more through.
     """
-    bits = 1 << min(27, max(18, (8 * ids.count()).bit_length()))
+    bits = 1 << min(27, max(18, (per_id * ids.count()).bit_length()))
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    rows = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("row")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("map"))
-    t = texts.select(F.col("doc_id").alias("id"), "text").where(F.col("id").isNotNull() & F.col("text").isNotNull())
-    t = t.withColumn("p", place).join(F.broadcast(rows), F.floor(F.col("p") / 32768) == F.col("row"))
-    byte = F.conv(F.hex(F.expr("substring(map, cast(p % 32768 as int) div 8 + 1, 1)")), 16, 10).cast("int")
-    return t.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(p % 8 as int))")) != 0).select("id", "text")
+    rows = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("map_row")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("map"))
+    return F.broadcast(rows), bits
+
+
+def maybe(rows: DataFrame, marks: tuple[DataFrame, int], name: str, keep: Sequence[str]) -> DataFrame:
+    """Columns to keep of rows and, as a boolean of the name, whether the bit of a row's doc_id is set; a null id has none."""
+    r = rows.alias("r").join(marks[0].alias("m"), F.floor(F.pmod(F.xxhash64(F.col("r.doc_id")), F.lit(marks[1])) / 32768) == F.col("m.map_row"), "left")
+    place = F.pmod(F.xxhash64(F.col("r.doc_id")), F.lit(marks[1])) % 32768
+    byte = F.conv(F.hex(F.substring(F.col("m.map"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int")))
+    return r.select(*[F.col(f"r.`{c}`") for c in keep], (F.col("r.doc_id").isNotNull() & (F.coalesce(bit, F.lit(0)) != 0)).alias(name))
+
+
+def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, text of the texts whose id may be one of ids (a column id). What is left to shuffle follows the ids and not the texts."""
+    t = maybe(texts.where(F.col("text").isNotNull()), bit_map(ids, 8), "set_bit", ["doc_id", "text"])
+    return t.where("set_bit").select(F.col("doc_id").alias("id"), "text")
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -418,8 +429,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, that of the smallest id, with the columns of docs.
 
-    Of repeated rows of one id the first by text stays; rows of null id all stay.
+    Of repeated rows of one id one stays; rows of null id all stay.
     """
-    gone = near_duplicates(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
+    found = shared_table(near_duplicates(docs, words, percent).select("doc_id", "kept").where("doc_id IS NOT NULL"))
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    name = fresh("set_bit", docs.columns)
+    # only rows that may be among those gone or repeated are shuffled with their texts
+    rows = maybe(docs, bit_map(gone.union(again), 8), name, docs.columns)
+    plain, other = rows.where(~F.col(name)).drop(name), rows.where(name).drop(name)
+    left = other.join(gone, F.col("doc_id") == F.col("id"), "left_anti")
+    return plain.unionByName(left.dropDuplicates(["doc_id"]))

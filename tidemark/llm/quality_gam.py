@@ -148,7 +148,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """doc_id, held_out, score and predicted for each row of docs."""
     counted = shared_table(ts.text_stats(docs))
     learning = labels.where(fold("doc_id", FOLDS) != HELD_OUT)
-    model = docs.sparkSession.sparkContext.broadcast(fit(*ts.labelled_sample(counted, learning, "quality", sample)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(*ts.labelled_sample(counted, ts.labelled_ids(learning, "quality", sample))))
     features = counted.select("doc_id", *[ts.feature(f).alias(f) for f in ts.FEATURES])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,7 +128,7 @@ def verdict(rules: Sequence[Rule]) -> tuple[Column, Column]:
 
 
 def fit(stats_table: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[Rule]:
-    x, quality = ts.labelled_sample(stats_table, labels, "quality", sample)
+    x, quality = ts.labelled_sample(stats_table, ts.labelled_ids(labels, "quality", sample))
     return learn(x, quality == 0)
 
 
@@ -148,8 +148,8 @@ def judged(counted: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of docs that the rules keep, with their columns. Counts are made twice, once for the labelled
     sample and once beside the texts, so that no text is shuffled or written."""
-    known = labels.select("doc_id").where(F.col("quality").isNotNull()).distinct()
-    rules = fit(shared_table(ts.text_stats(docs.join(known, "doc_id", "left_semi"))), labels, sample)
+    chosen = docs.select("doc_id", "text").join(ts.labelled_ids(labels, "quality", sample), "doc_id", "left_semi")
+    rules = fit(shared_table(ts.text_stats(chosen)), labels, sample)
     packed = fresh("counts", docs.columns)
     names = {n: fresh(f"counted_{n}", docs.columns) for n in ts.NAMES}
     schema = ", ".join(f"`{names[n]}` bigint" for n in ts.NAMES)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, neardup, quality_gam, quality_rules, secrets, sharding
+from . import decontamination, language_id, mixing, neardup, quality_gam, quality_rules, secrets, sharding, toxicity
 from .common import documents, table
 
 
@@ -18,6 +18,10 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(documents(spark, sf_dir)).drop("lang", "source")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
@@ -38,8 +42,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.quality_scores(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_ids(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_near_dedup, op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier, op9_language_id)}
 
 
 #: SQL for the word pattern's runs; a null text has none.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .arrowmap import map_text
-from .common import unit_hash
+from .common import small, unit_hash
 
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_chars", "n_letters", "n_upper", "n_digits", "n_wide", "n_bangs", "n_bars", "n_stops", "n_distinct", "n_long")
 SCHEMA = ", ".join(f"{n} bigint" for n in NAMES)
@@ -118,15 +118,19 @@ def feature(name: str) -> Column:
     return F.col(a).cast("double") / F.greatest(F.col(b), F.lit(1)).cast("double")
 
 
-def labelled_sample(stats_table: DataFrame, labels: DataFrame, label: str, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of about limit labelled rows at most, which a hash of the id chooses.
+def labelled_ids(labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """doc_id, y of about limit labelled rows at most, which a hash of the id chooses; broadcast, as their number is bounded.
 
     Ids that have both labels are left out; labels other than 0 and 1, and null ids, too.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     own = own.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").drop("z")
     n = own.count()
-    chosen = own.where(unit_hash(F.col("doc_id"), F.lit(label)) < limit / max(n, 1))
-    rows = stats_table.join(chosen, "doc_id").select("y", "doc_id", *[feature(f).alias(f) for f in FEATURES]).toPandas()
+    return small(own.where(unit_hash(F.col("doc_id"), F.lit(label)) < limit / max(n, 1)), 2 * min(n, limit))
+
+
+def labelled_sample(stats_table: DataFrame, ids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the rows of labelled ids."""
+    rows = stats_table.join(ids, "doc_id").select("y", "doc_id", *[feature(f).alias(f) for f in FEATURES]).toPandas()
     rows = rows.sort_values(["doc_id", *FEATURES])  # reruns agree
     return rows[list(FEATURES)].to_numpy(dtype=float).reshape(-1, len(FEATURES)), rows["y"].to_numpy(dtype=int)
