@@ -1,7 +1,7 @@
 """Language identification by compression.
 
-Each language has a raw-content Zstandard dictionary of sampled text in lower case. A text, in lower case, is cut into
-pieces of ``PIECE`` bytes, each piece is compressed with every language's dictionary, and the language of the smallest
+Each language has a raw-content Zstandard dictionary of sampled text. Dictionaries and texts are in lower case, with one
+blank for whatever isn't letters, so that layout and case decide nothing. A text is cut into pieces of ``PIECE`` bytes, each piece is compressed with every language's dictionary, and the language of the smallest
 sum of sizes is chosen. The score is 1 - 2 ** -(bytes saved against the second / ``HALF``), and a choice that saves less
 than ``MARGIN`` of the second's size is marked as rejected.
 
@@ -27,14 +27,20 @@ from .arrowmap import map_text
 from .common import fold, small, unit_hash
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE, WINDOW, DICTIONARY = 400, 400, 96 << 10
-PIECE, LEVEL = 2048, 3
+SAMPLE, WINDOW, DICTIONARY = 600, 400, 96 << 10
+#: Matches of three bytes count, as short texts have few longer ones.
+PIECE, LEVEL, MATCH = 2048, 3, 3
 MARGIN, HALF = 0.01, 4.0
 LETTER = re.compile(r"[^\W\d_]")
+BETWEEN = re.compile(r"[\W\d_]+")
+
+
+def plain(text: str) -> str:
+    return f" {BETWEEN.sub(' ', text.lower()).strip()} "
 
 
 def learned(docs: DataFrame, sample: int) -> dict[str, bytes]:
-    """A dictionary for each language: texts between line feeds, those of the smallest hashes last, as near matches are cheapest."""
+    """A dictionary for each language: pieces of texts, those of the smallest hashes last, as near matches are cheapest."""
     rows = docs.select("doc_id", "text", "lang").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row per language
     n = counts.count()
@@ -43,8 +49,8 @@ def learned(docs: DataFrame, sample: int) -> dict[str, bytes]:
     drawn = rows.join(small(counts, n), "lang").where(draw < sample / F.col("n")).select("lang", draw.alias("draw"), F.substring(F.col("text"), at, F.lit(WINDOW)).alias("piece"))
     found: dict[str, list[str]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r["lang"], -r["draw"], r["piece"])):
-        found.setdefault(r["lang"], []).append(r["piece"].lower())
-    return {lang: "\n".join(pieces).encode()[-DICTIONARY:] for lang, pieces in sorted(found.items())}
+        found.setdefault(r["lang"], []).append(plain(r["piece"]))
+    return {lang: "".join(pieces).encode()[-DICTIONARY:] for lang, pieces in sorted(found.items())}
 
 
 def classifier(dictionaries: dict[str, bytes]) -> Callable[[pa.Array], list[pa.Array]]:
@@ -55,8 +61,9 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[pa.Array], list[pa.A
     made = []
     for content in dictionaries.values():
         d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=LEVEL)
-        made.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+        how = zstandard.ZstdCompressionParameters.from_level(LEVEL, min_match=MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+        d.precompute_compress(compression_params=how)
+        made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
 
     def apply(texts: pa.Array) -> list[pa.Array]:
         pred, score, rejected = [], [], []
@@ -67,7 +74,7 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[pa.Array], list[pa.A
                 score.append(0.0)
                 rejected.append(True)
                 continue
-            data = text.lower().encode()
+            data = plain(text).encode()
             pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
             sizes = [sum(len(c(p)) for p in pieces) for c in made]
             order = np.argsort(sizes, kind="stable")
