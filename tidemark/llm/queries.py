@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, mixing, neardup, quality_gam, quality_rules, secrets, sharding, toxicity
+from . import decontamination, language_id, mixing, neardup, pseudo_likelihood, quality_gam, quality_rules, secrets, sharding, toxicity
 from .common import documents, table
 
 
@@ -46,8 +46,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(documents(spark, sf_dir))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.lm_scores(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier, op9_language_id)}
+    return {f.__name__: f for f in (op1_toxicity, op2_near_dedup, op3_decontaminate, op4_mix_sources, op5_shard, op6_quality_rules, op7_secret_scan, op8_quality_classifier, op9_language_id, op10_lm_score)}
 
 
 #: SQL for the word pattern's runs; a null text has none.
