@@ -1,0 +1 @@
+"""A time-series and event analytics engine on PySpark DataFrames."""
