@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 _MULTIPLIER = 0x9E3779B97F4A7C13 & ~7 | 3  # 3 modulo 8: powers of it differ in high and low bits
 
 
