@@ -131,12 +131,10 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     held = F.col("size") * F.col("n")
     groups = groups.withColumn("pieces", F.when(held <= shard_bytes / WHOLE, 1).otherwise(F.ceil(held / (shard_bytes / PIECE))).cast("long"))
     groups = shared_table(groups.withColumns({"d_size": F.log2(F.col("size")), "d_lang": leading(F.col("lang")), "d_source": leading(F.col("source"))}))
-    # Each piece of a cut group has its share of the rows, of which there are many.
-    share = F.col("size") * F.col("n") / F.col("pieces")
-    pieces = shared_table(groups.select("g", share.alias("bytes"), *DIMENSIONS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece")))
-    tree, numbers = grow(pieces, shards)
     own = groups.select(*group, "pieces", *DIMENSIONS)
-    joined = rows.join(own, group).withColumn("piece", F.floor(unit_hash(F.col("doc_id"), F.col("g")) * F.col("pieces")))
+    joined = shared_table(rows.join(own, group).withColumn("piece", F.floor(unit_hash(F.col("doc_id"), F.col("g")) * F.col("pieces"))).drop("pieces"))
+    pieces = shared_table(joined.groupBy("g", "piece", *DIMENSIONS).agg(F.sum("size").alias("bytes")))
+    tree, numbers = grow(pieces, shards)
     names = F.create_map(*[F.lit(x) for k, v in numbers.items() for x in (k, v)])
     placed = joined.withColumn("node", walk(tree)).withColumn("shard", F.element_at(names, F.col("node")))
     spread = max(1, -(-total["n"] // (shards * SLOT_ROWS)))
