@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ def unpacked(data: bytes) -> Params:
     return out
 
 
-@dataclass(frozen=True)
+@dataclass
 class Vocabulary:
     """Known words' hashes in order, and the id of each: ids are by falling count, so that classes go by frequency."""
 
@@ -58,13 +59,24 @@ class Vocabulary:
     ids: np.ndarray
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
-        out = (KNOWN + h % tk.U64(OTHERS)).astype(np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            hit = self.hashes[at] == h
-            out[hit] = self.ids[at[hit]]
+        """Ids of hashes: one look into a table by their first 16 bits, a search where several known words share those."""
+        held, ids, several = self.table
+        slot = (h >> tk.U64(48)).astype(np.int64)
+        out = np.where(held[slot] == h, ids[slot], KNOWN + (h & tk.U64(OTHERS - 1)).astype(np.int64))
+        if len(several) and len(at := np.flatnonzero(several[slot])):
+            place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            hit = self.hashes[place] == h[at]
+            out[at[hit]] = self.ids[place[hit]]
         return out
 
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        slot = (self.hashes >> tk.U64(48)).astype(np.int64)
+        held, ids = np.zeros(1 << 16, dtype=tk.U64), np.full(1 << 16, KNOWN)
+        held[slot], ids[slot] = self.hashes, self.ids
+        several = np.bincount(slot, minlength=1 << 16) > 1
+        return held, ids, several if several.any() else np.empty(0, dtype=bool)
+
 
 def context(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The ids of the words around each word; SIZE stands for none."""
@@ -81,6 +93,15 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """One entry of each row of log_softmax(z); z is used up."""
+    most = z.max(axis=1)
+    own = z[np.arange(len(z)), at] - most
+    z -= most[:, None]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(axis=1))
+
+
 def by_class(tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The places of the words of each class that occurs."""
     kind = tokens // PER_CLASS
@@ -97,9 +118,9 @@ def log_probs(p: Params, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     for at in range(0, len(tokens), BATCH):
         t, c = tokens[at : at + BATCH], around[at : at + BATCH]
         h = np.tanh(p["e"][c].reshape(len(t), -1) @ p["w"] + p["b"])
-        part = log_softmax(h @ p["c"] + p["cb"])[np.arange(len(t)), t // PER_CLASS].astype(np.float64)
+        part = log_softmax_at(h @ p["c"] + p["cb"], t // PER_CLASS).astype(np.float64)
         for k, own in by_class(t):
-            part[own] += log_softmax(h[own] @ p["o"][k] + p["ob"][k])[np.arange(len(own)), t[own] % PER_CLASS]
+            part[own] += log_softmax_at(h[own] @ p["o"][k] + p["ob"][k], t[own] % PER_CLASS)
         out[at : at + BATCH] = part
     return out
 
