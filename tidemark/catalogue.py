@@ -443,7 +443,11 @@ def stat_counters(spark, sf_dir):
     return retention.counters(S(spark, sf_dir).select(F.col("metric").alias("key"), op.alias("op"), F.col("seq").alias("value"), "seq"))
 
 
-@registered(", k AS (SELECT strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS key, min(seq) AS opened FROM O GROUP BY 1), n AS (SELECT a.key, list_sort(list(b.opened))[24] AS sealed_at FROM k a JOIN k b ON b.key > a.key GROUP BY 1) SELECT strftime(make_timestamp(O.ts_ns // 1000), '%Y-%m') AS partition_key, count(*) FILTER (coalesce(O.seq > n.sealed_at, false)) AS rejected, count(*) AS records FROM O LEFT JOIN n ON n.key = strftime(make_timestamp(O.ts_ns // 1000), '%Y-%m') GROUP BY 1")
+@registered("""SELECT strftime(make_timestamp(O.ts_ns // 1000), '%Y-%m') AS partition_key, count(*) FILTER (coalesce(O.seq > n.sealed_at, false)) AS rejected, count(*) AS records FROM O LEFT JOIN (
+ WITH RECURSIVE k AS (SELECT *, row_number() OVER (ORDER BY opened) AS nth FROM (SELECT strftime(make_timestamp(ts_ns // 1000), '%Y-%m') AS key, min(seq) AS opened FROM O GROUP BY 1)),
+ r(nth, open, key, sealed_at) AS (SELECT nth, [key], CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT) FROM k WHERE nth = 1 UNION ALL
+  SELECT k.nth, CASE WHEN len(open) >= 24 THEN list_append(list_filter(open, lambda x: x <> list_min(open)), k.key) ELSE list_append(open, k.key) END, CASE WHEN len(open) >= 24 THEN list_min(open) END, CASE WHEN len(open) >= 24 THEN k.opened END FROM r JOIN k ON k.nth = r.nth + 1)
+ SELECT key, sealed_at FROM r WHERE key IS NOT NULL) n ON n.key = strftime(make_timestamp(O.ts_ns // 1000), '%Y-%m') GROUP BY 1""")
 def sealed_partitions(spark, sf_dir):
     rows = filters.sealed_rejections(O(spark, sf_dir), 24, "month")
     return rows.groupBy("partition_key").agg(F.count_if("sealed").alias("rejected"), F.count("*").alias("records"))

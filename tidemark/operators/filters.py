@@ -68,13 +68,21 @@ def with_partition(df: DataFrame, mode: str = "day") -> DataFrame:
 def sealed_rejections(df: DataFrame, max_active: int, mode: str = "day", seq: str = "seq") -> DataFrame:
     """With partition_key and sealed: whether a key was sealed when the row arrived.
 
-    The key that opens as number max_active + 1 seals the smallest open one, so when a row arrives its key is sealed if max_active greater keys
-    had been opened after it by then. Keys are few; they are compared as a table of their own.
+    A key that opens while max_active are open seals the smallest of those first. A key opens once, with its first row; the openings, one per key, are gone
+    through in order as an array per database.
     """
     rows = with_partition(df, mode)
     opened = rows.groupBy("db", "partition_key").agg(F.min(seq).alias("opened"))
-    later = opened.select(F.col("db").alias("db2"), F.col("partition_key").alias("key2"), F.col("opened").alias("opened2"))
-    pairs = opened.join(later, (F.col("db") == F.col("db2")) & (F.col("key2") > F.col("partition_key")))
-    nth = pairs.groupBy("db", "partition_key").agg(F.sort_array(F.collect_list("opened2")).alias("times")).select("db", "partition_key", F.try_element_at("times", F.lit(max_active)).alias("sealed_at"))
-    out = rows.join(nth, ["db", "partition_key"], "left")
+    openings = opened.groupBy("db").agg(F.sort_array(F.collect_list(F.struct("opened", "partition_key"))).alias("openings"))
+    kind = opened.schema["opened"].dataType.simpleString()
+    start = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast(f"array<struct<partition_key:string,sealed_at:{kind}>>").alias("sealed"))
+
+    def step(state: Column, x: Column) -> Column:
+        full, oldest = F.size(state["open"]) >= max_active, F.array_min(state["open"])
+        left = F.when(full, F.array_remove(state["open"], oldest)).otherwise(state["open"])
+        more = F.when(full, F.array_append(state["sealed"], F.struct(oldest.alias("partition_key"), x["opened"].alias("sealed_at")))).otherwise(state["sealed"])
+        return F.struct(F.array_append(left, x["partition_key"]).alias("open"), more.alias("sealed"))
+
+    sealed = openings.select("db", F.explode(F.aggregate("openings", start, step)["sealed"]).alias("s")).select("db", "s.partition_key", "s.sealed_at")
+    out = rows.join(sealed, ["db", "partition_key"], "left")
     return out.withColumn("sealed", F.coalesce(F.col(seq) > F.col("sealed_at"), F.lit(False))).drop("sealed_at")

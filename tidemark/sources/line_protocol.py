@@ -18,17 +18,20 @@ def parse(lines: DataFrame, line: str = "line", default_ts: int | None = None, d
     Blank lines and those that begin with # are left out. A missing time is default_ts, or the clock. db replaces the line's.
     """
     now = time.time_ns() if default_ts is None else default_ts
-    text = F.trim(F.col(line))
-    rows = lines.where((text != "") & ~text.startswith("#"))
-    fields = F.split(F.regexp_replace(text, r"\s+", " "), " ")
-    target = F.element_at(fields, 1)
-    head, tail = F.substring_index(target, "/", 1), F.substring(target, F.instr(target, "/") + 1, F.length(target))
-    base = F.when(F.lit(db is not None), F.lit(db)).otherwise(F.when(target.contains("/"), head))
-    metric = F.when(target.contains("/"), tail) if db is None else F.when(target.contains("/"), tail).otherwise(target)
-    literal = F.try_element_at(fields, F.lit(2))
-    when = F.array_join(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))), " ")
-    out = rows.withColumns({"db": base, "metric": metric, "value_type": values.lp_type(literal), "int32_value": values.lp_int(literal), "float32_value": F.when(~values.has_int_suffix(literal), values.lp_float(literal))})
-    out = out.withColumns({"value": values.common_value(F.col("int32_value"), F.col("float32_value")), "ts_ns": F.when(when == "", F.lit(now).cast("long")).otherwise(timeutil.parse_timestamp_column(when))})
+    # one step builds on the columns of the one before, so that nothing is worked out twice
+    rows = lines.withColumn("lp_text", F.trim(F.col(line))).where((F.col("lp_text") != "") & ~F.col("lp_text").startswith("#"))
+    rows = rows.withColumn("lp_fields", F.split(F.regexp_replace("lp_text", r"\s+", " "), " "))
+    fields = F.col("lp_fields")
+    rest = F.array_join(F.slice(fields, 3, F.greatest(F.size(fields) - 2, F.lit(0))), " ")
+    rows = rows.withColumns({"lp_target": F.element_at(fields, 1), "lp_literal": F.try_element_at(fields, F.lit(2)), "lp_when": rest})
+    target, literal = F.col("lp_target"), F.col("lp_literal")
+    slash = target.contains("/")
+    tail = F.substring(target, F.instr(target, "/") + 1, F.length(target))
+    base = F.when(slash, F.substring_index(target, "/", 1)) if db is None else F.lit(db)
+    metric = F.when(slash, tail) if db is None else F.when(slash, tail).otherwise(target)
+    out = rows.withColumns({"db": base, "metric": metric, "int32_value": values.lp_int(literal), "float32_value": F.when(~values.has_int_suffix(literal), values.lp_float(literal)), "ts_ns": F.when(F.col("lp_when") == "", F.lit(now).cast("long")).otherwise(timeutil.parse_timestamp_column(F.col("lp_when")))})
+    kind = F.when(F.col("int32_value").isNotNull(), values.INT).when(F.col("float32_value").isNotNull(), values.FLOAT)
+    out = out.withColumns({"value_type": kind, "value": values.common_value(F.col("int32_value"), F.col("float32_value"))})
     error = (
         F.when(F.octet_length(F.col(line)) > MAX_LINE, "line too long")
         .when(F.size(fields) < 2, "missing value")
@@ -37,7 +40,7 @@ def parse(lines: DataFrame, line: str = "line", default_ts: int | None = None, d
         .when(F.col("value_type").isNull(), "invalid value")
         .when(F.col("ts_ns").isNull(), "invalid timestamp")
     )
-    return out.withColumn("error", error)
+    return out.withColumn("error", error).drop("lp_text", "lp_fields", "lp_target", "lp_literal", "lp_when")
 
 
 def read(spark: SparkSession, path: str, db: str | None = None, default_ts: int | None = None) -> DataFrame:
