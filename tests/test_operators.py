@@ -46,6 +46,7 @@ def test_ranges(spark):
     df = samples(spark, [(BASE + i // 2, i) for i in range(20)])
     assert [r["value"] for r in ranges.read_range(df, "m", BASE + 1, BASE + 3).collect()] == [2, 3, 4, 5, 6, 7]
     assert [r["value"] for r in ranges.read_range(df, "m", stride=6).collect()] == [0, 6, 12, 18]
+    assert sorted(r["value"] for r in ranges.strided(df, 3, block_ns=4).collect()) == [0, 3, 6, 9, 12, 15, 18]
     assert ranges.read_range(df, "other").count() == 0
     assert ranges.latest(df).first()["value"] == 19
     assert [r["value"] for r in ranges.last_per_step(df, 4).orderBy("step_ts_ns").collect()][-1] == 19
@@ -70,7 +71,9 @@ def test_staleness_equals_a_loop(spark):
     rng = random.Random(3)
     rows = [(rng.choice("ab"), rng.randrange(30), i) for i in range(200)]
     df = spark.createDataFrame([("db", *r) for r in rows], "db string, metric string, ts_ns bigint, seq bigint")
-    assert sorted(r["seq"] for r in filters.not_stale(df).collect()) == brute_stale(rows)
+    for block in (1 << 20, 16):
+        assert sorted(r["seq"] for r in filters.not_stale(df, block=block).collect()) == brute_stale(rows)
+    assert sorted(r["seq"]["seq"] for r in filters.not_stale(df.withColumn("seq", F.struct("seq"))).collect()) == brute_stale(rows)
 
 
 def test_pinning_catalog_and_caps(spark):

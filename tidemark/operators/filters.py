@@ -30,13 +30,23 @@ def _order(keys: Sequence[str], seq: str):
     return W.partitionBy(*keys).orderBy(seq)
 
 
-def not_stale(df: DataFrame, keys: Sequence[str] = ("db", "metric"), seq: str = "seq") -> DataFrame:
+def not_stale(df: DataFrame, keys: Sequence[str] = ("db", "metric"), seq: str = "seq", block: int = 1 << 20) -> DataFrame:
     """Rows not older than all that arrived before them in their series; equal times pass.
 
-    A rejected row is older than the newest, so the running maximum over all rows is that of the accepted ones.
+    A rejected row is older than the newest, so the running maximum over all rows is that of the accepted ones. Where seq is a whole number, a
+    series is cut into blocks of it: maxima of blocks are carried forward over one row per block, and only a block is ordered by a task.
     """
-    newest = F.max("ts_ns").over(_order(keys, seq).rowsBetween(W.unboundedPreceding, -1))
-    return df.withColumn("newest", newest).where(F.col("newest").isNull() | (F.col("ts_ns") >= F.col("newest"))).drop("newest")
+    keys = list(keys)
+    if df.schema[seq].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        newest = F.max("ts_ns").over(_order(keys, seq).rowsBetween(W.unboundedPreceding, -1))
+        return df.withColumn("newest", newest).where(F.col("newest").isNull() | (F.col("ts_ns") >= F.col("newest"))).drop("newest")
+    rows = df.withColumn("seq_block", timeutil.floor_to(F.col(seq).cast("long"), block))
+    before = W.partitionBy(*keys).orderBy("seq_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy(*keys, "seq_block").agg(F.max("ts_ns").alias("m")).select(*keys, "seq_block", F.max("m").over(before).alias("carried"))
+    rows = rows.join(carried, [*keys, "seq_block"])
+    own = F.max("ts_ns").over(_order([*keys, "seq_block"], seq).rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumn("newest", F.greatest(own, "carried")).where(F.col("newest").isNull() | (F.col("ts_ns") >= F.col("newest")))
+    return rows.select(*df.columns)
 
 
 def pinned(df: DataFrame, keys: Sequence[str] = ("db", "metric"), seq: str = "seq") -> DataFrame:

@@ -18,11 +18,19 @@ def read_range(samples: DataFrame, metrics: str | Sequence[str], start_ns: int |
     return strided(out, stride).orderBy("ts_ns", "seq")
 
 
-def strided(samples: DataFrame, n: int) -> DataFrame:
+def strided(samples: DataFrame, n: int, block_ns: int = timeutil.DAY_NS) -> DataFrame:
+    """Every n-th sample of each metric by time and arrival, the first kept.
+
+    A metric is numbered in blocks of time: blocks are counted, and each numbers its own after those of the blocks before it.
+    """
     if n <= 1:
         return samples
-    at = F.row_number().over(W.partitionBy("db", "metric").orderBy("ts_ns", "seq")) - 1
-    return samples.withColumn("nth", at).where(F.col("nth") % n == 0).drop("nth")
+    rows = samples.withColumn("time_block", timeutil.floor_to(F.col("ts_ns"), block_ns))
+    counts = rows.groupBy("db", "metric", "time_block").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(W.partitionBy("db", "metric").orderBy("time_block")) - F.col("c")
+    rows = rows.join(counts.select("db", "metric", "time_block", before.alias("before")), ["db", "metric", "time_block"])
+    at = F.row_number().over(W.partitionBy("db", "metric", "time_block").orderBy("ts_ns", "seq")) - 1 + F.col("before")
+    return rows.withColumn("nth", at).where(F.col("nth") % n == 0).select(*samples.columns)
 
 
 def latest(samples: DataFrame, keys: Sequence[str] = ("db", "metric")) -> DataFrame:
