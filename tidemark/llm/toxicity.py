@@ -34,9 +34,9 @@ GRAMS = (3, 4, 5, 6)
 BUCKETS, DIM = 1 << 18, 4
 STEPS, RATE, DECAY = 200, 0.03, 1e-6
 #: Words of no meaning that every mean also counts, so that a few words are less than certain.
-SHRINK = 10
+SHRINK = 50
 #: Standard errors and texts from which on a bucket is trained.
-LEAST_Z, LEAST_TEXTS = 4.0, 5
+LEAST_Z, LEAST_TEXTS = 5.0, 5
 
 
 @dataclass
