@@ -9,7 +9,7 @@ the maxima of the parts' registers; the more alike two sets are, the more of the
    under ``MISS``. Each member of a bucket is paired with the bucket's smallest id only, its hub.
 3. Pairs are screened by the likelihood of their Jaccard similarity given how many registers are smaller, greater
    and equal, jointly with both sets' sizes; what is likely far below the threshold goes.
-4. Pairs left are verified exactly: spokes stream by their hub's set, in blocks of a hub's spokes.
+4. Pairs left are verified exactly: spokes stream by their hub's set, a large hub's in several blocks.
 5. Links give components. Buckets that still hold several are gone through exhaustively, in blocks of ``BLOCK`` members
    against the members outside of the bucket's largest component: every pair of the bucket that is not yet in one
    component is screened on registers and, where that is not conclusive, verified on whole sets.
@@ -45,7 +45,7 @@ ROWS, MISS = 5, 1e-6
 BASE, RATE = 1.04, 20.0
 #: A pair whose likeliest similarity is this many standard deviations below the threshold is let go.
 SCREEN = 5.0
-BLOCK = 512
+BLOCK, SPREAD = 512, 64
 
 
 @dataclass(frozen=True)
@@ -173,7 +173,7 @@ def banded(reps: DataFrame, how: Sketcher) -> DataFrame:
 
 
 def screened(pairs: DataFrame, reps: DataFrame, how: Sketcher) -> DataFrame:
-    """The pairs doc, hub that the sketches leave possible."""
+    """The dealt pairs doc, hub, block that the sketches leave possible."""
     a = reps.select(F.col("doc"), F.col("n").alias("n1"), F.col("sketch").alias("s1"))
     b = reps.select(F.col("doc").alias("hub"), F.col("n").alias("n2"), F.col("sketch").alias("s2"))
 
@@ -181,21 +181,20 @@ def screened(pairs: DataFrame, reps: DataFrame, how: Sketcher) -> DataFrame:
         for x in batches:
             for at in range(0, x.num_rows, 4096):
                 part = x.slice(at, 4096)
-                r, s = (sketches_of(part.column(c), how.registers) for c in (3, 5))
-                ok = how.possible(r, s, part.column(2).to_numpy(), part.column(4).to_numpy())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["doc", "hub"]).filter(pa.array(ok))
+                r, s = (sketches_of(part.column(c), how.registers) for c in (4, 6))
+                ok = how.possible(r, s, part.column(3).to_numpy(), part.column(5).to_numpy())
+                yield pa.RecordBatch.from_arrays(part.columns[:3], names=["doc", "hub", "block"]).filter(pa.array(ok))
 
-    joined = pairs.join(a, "doc").join(b, "hub").select("doc", "hub", "n1", "s1", "n2", "s2")
-    return joined.mapInArrow(run, "doc bigint, hub bigint")
+    heads = pairs.select("hub", "block").distinct().join(b, "hub")
+    joined = pairs.join(a, "doc").join(heads, ["hub", "block"]).select("doc", "hub", "block", "n1", "s1", "n2", "s2")
+    return joined.mapInArrow(run, "doc bigint, hub bigint, block bigint")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, how: Sketcher) -> DataFrame:
-    """The pairs doc, hub whose whole sets are similar, as a, b."""
-    blocks = pairs.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = shared_table(pairs.join(blocks, "hub").select("doc", "hub", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block")))
-    t = needed(texts, dealt.select(F.col("doc").alias("id")).union(dealt.select("hub")).distinct())
-    spokes = dealt.join(t, F.col("doc") == F.col("id")).select("hub", "block", F.lit(1).alias("role"), "doc", "text")
-    heads = dealt.select("hub", "block").distinct().join(t, F.col("hub") == F.col("id")).select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("doc"), "text")
+    """The dealt pairs doc, hub, block whose whole sets are similar, as a, b."""
+    t = needed(texts, pairs.select(F.col("doc").alias("id")).union(pairs.select("hub")).distinct())
+    spokes = pairs.join(t, F.col("doc") == F.col("id")).select("hub", "block", F.lit(1).alias("role"), "doc", "text")
+    heads = pairs.select("hub", "block").distinct().join(t, F.col("hub") == F.col("id")).select("hub", "block", F.lit(0).alias("role"), F.col("hub").alias("doc"), "text")
     rows = heads.unionByName(spokes).repartition("hub", "block").sortWithinPartitions("hub", "block", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,13 +226,22 @@ def bit_map(ids: DataFrame, per_id: int) -> tuple[DataFrame, int]:
     return F.broadcast(rows), bits
 
 
-def maybe(rows: DataFrame, marks: tuple[DataFrame, int], name: str, keep: Sequence[str]) -> DataFrame:
-    """Columns to keep of rows and, as a boolean of the name, whether the bit of a row's doc_id is set; a null id has none."""
-    r = rows.alias("r").join(marks[0].alias("m"), F.floor(F.pmod(F.xxhash64(F.col("r.doc_id")), F.lit(marks[1])) / 32768) == F.col("m.map_row"), "left")
-    place = F.pmod(F.xxhash64(F.col("r.doc_id")), F.lit(marks[1])) % 32768
-    byte = F.conv(F.hex(F.substring(F.col("m.map"), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (place % 8 + 1).cast("int")))
-    return r.select(*[F.col(f"r.`{c}`") for c in keep], (F.col("r.doc_id").isNotNull() & (F.coalesce(bit, F.lit(0)) != 0)).alias(name))
+def maybe(rows: DataFrame, marks: tuple[DataFrame, int], name: str, keep: Sequence[str], of: str = "doc_id") -> DataFrame:
+    """Columns to keep of rows and, as a boolean of the name, whether the bit of the id in column of is set; a null id has none."""
+    id_ = F.col(f"r.{of}")
+    place = F.pmod(F.xxhash64(id_), F.lit(marks[1]))
+    r = rows.alias("r").join(marks[0].alias("m"), F.floor(place / 32768) == F.col("m.map_row"), "left")
+    within = place % 32768
+    byte = F.conv(F.hex(F.substring(F.col("m.map"), (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (within % 8 + 1).cast("int")))
+    return r.select(*[F.col(f"r.`{c}`") for c in keep], (id_.isNotNull() & (F.coalesce(bit, F.lit(0)) != 0)).alias(name))
+
+
+def dealt(pairs: DataFrame) -> DataFrame:
+    """pairs doc, hub with a block each: spokes of hubs that have more than BLOCK of them are spread over SPREAD blocks."""
+    large = pairs.groupBy("hub").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select(F.col("hub").alias("id"))
+    marked = maybe(pairs, bit_map(large, 16), "large", ["doc", "hub"], "hub")
+    return marked.select("doc", "hub", F.when(F.col("large"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD))).otherwise(0).alias("block"))
 
 
 def needed(texts: DataFrame, ids: DataFrame) -> DataFrame:
@@ -414,7 +422,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
     bands = banded(reps, how)
     hubs = bands.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
     members = shared_table(bands.join(hubs, "key").select("key", "hub", "doc"))
-    pairs = shared_table(screened(members.where("doc != hub").select("doc", "hub").distinct(), reps, how))
+    pairs = shared_table(dealt(shared_table(members.where("doc != hub").select("doc", "hub").distinct())))
+    pairs = shared_table(screened(pairs, reps, how))
     links = shared_table(verified(pairs, ids, how))
     labels = components(links)
     more = shared_table(between(members, labels, reps, ids, how))
