@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import aggregates, display, names, timeutil, values
 from .operators import events as ev
-from .operators import filters, lineage, ranges, rates, retention, rollup, windows
+from .operators import filters, lineage, ranges, rates, registry, retention, rollup, windows
 from .plans import dashboard, results
 from .sources import csv_rules, json_events, line_protocol, tables, topics
 
@@ -84,7 +84,7 @@ def window_basic(spark, sf_dir):
 
 @registered(long_sql("S", HOUR, ["min", "max", "avg", "count"], LO, HI))
 def window_clipped(spark, sf_dir):
-    return rounded(windows.window_aggregate(S(spark, sf_dir), HOUR, ["min", "max", "avg", "count"], LO, HI))
+    return rounded(windows.window_aggregate(S(spark, sf_dir, LO, HI), HOUR, ["min", "max", "avg", "count"], LO, HI))
 
 
 @registered(long_sql("S", 6 * HOUR, ["median", "p50", "p95", "p99"]))
@@ -114,7 +114,7 @@ def window_week(spark, sf_dir):
 
 @registered(long_sql("S", 15 * 60 * NS, ["avg"], LO, HI))
 def step_avg(spark, sf_dir):
-    return rounded(windows.step_query(S(spark, sf_dir), timeutil.parse_duration("15m"), LO, HI))
+    return rounded(windows.step_query(S(spark, sf_dir, LO, HI), timeutil.parse_duration("15m"), LO, HI))
 
 
 @registered(f"SELECT metric, CAST(ts_ns - ts_ns % {HOUR} AS BIGINT) AS step_ts_ns, round(arg_max(value, seq), 4) AS value FROM S GROUP BY 1, 2")
@@ -127,17 +127,14 @@ def band(spark, sf_dir):
     return windows.band(S(spark, sf_dir), 6 * HOUR).select("metric", "start_ts_ns", *[F.round(c, 4).alias(c) for c in ("avg", "min", "max")])
 
 
-EDGES = "SELECT min(ts_ns) + (max(ts_ns) - min(ts_ns)) // 4 AS lo FROM S"
-
-
 @registered(f"SELECT metric, ts_ns, round(value, 4) AS value, seq FROM S WHERE metric IN ('click', 'nothing') AND ts_ns BETWEEN {LO} AND {HI}")
 def range_inclusive(spark, sf_dir):
-    return ranges.read_range(S(spark, sf_dir), ["click", "nothing"], LO, HI).select("metric", "ts_ns", F.round(F.col("value").cast("double"), 4).alias("value"), "seq")
+    return ranges.read_range(S(spark, sf_dir, LO, HI), ["click", "nothing"], LO, HI).select("metric", "ts_ns", F.round(F.col("value").cast("double"), 4).alias("value"), "seq")
 
 
 @registered(f"SELECT metric, ts_ns, round(value, 4) AS value, seq FROM S WHERE metric IN ('click', 'view', 'error') AND ts_ns BETWEEN {LO} AND {HI}")
 def range_many(spark, sf_dir):
-    return ranges.read_range(S(spark, sf_dir), ["click", "view", "error"], LO, HI).select("metric", "ts_ns", F.round(F.col("value").cast("double"), 4).alias("value"), "seq")
+    return ranges.read_range(S(spark, sf_dir, LO, HI), ["click", "view", "error"], LO, HI).select("metric", "ts_ns", F.round(F.col("value").cast("double"), 4).alias("value"), "seq")
 
 
 @registered("SELECT metric, ts_ns, value, k1, k2, k3, k4 FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY ts_ns, k1, k2, k3, k4) - 1 AS nth FROM L) WHERE nth % 7 = 0")
@@ -218,7 +215,7 @@ def type_pinning(spark, sf_dir):
 
 @registered(f"SELECT name, CAST(ts_ns - ts_ns % {3 * HOUR} AS BIGINT) AS bucket_ts_ns, count(*) AS count FROM E WHERE ts_ns BETWEEN {LO} AND {HI} GROUP BY 1, 2")
 def events_count(spark, sf_dir):
-    return windows.event_counts(E(spark, sf_dir), 3 * HOUR, LO, HI, ["name"])
+    return windows.event_counts(E(spark, sf_dir, LO, HI), 3 * HOUR, LO, HI, ["name"])
 
 
 @registered(f"SELECT seq - 5000 AS seq, CAST(x - ((x % {HOUR}) + {HOUR}) % {HOUR} AS BIGINT) AS event_bucket, CAST((x // {HOUR}) * {HOUR} AS BIGINT) AS metric_bucket FROM (SELECT seq, (seq - 5000) * 1234567890123 AS x FROM E)")
@@ -266,7 +263,7 @@ def event_numeric_points(spark, sf_dir):
 
 @registered(f"SELECT name, ts_ns, seq FROM E WHERE ts_ns BETWEEN {LO} AND {HI} ORDER BY ts_ns, seq LIMIT 200")
 def event_overlay(spark, sf_dir):
-    return ev.overlay(ev.select(E(spark, sf_dir), None, LO, HI))
+    return ev.overlay(ev.select(E(spark, sf_dir, LO, HI), None, LO, HI))
 
 
 @registered("SELECT name, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k, count(*) AS n FROM E GROUP BY 1, 2")
@@ -501,3 +498,66 @@ def transitions(spark, sf_dir):
 @registered(f"SELECT name, seq % 3 AS key, CAST(ts_ns - ts_ns % {60 * NS} AS BIGINT) AS bucket_ts_ns, count(*) AS count, arg_max(payload, seq) AS payload FROM E GROUP BY 1, 2, 3")
 def batched_counts(spark, sf_dir):
     return ev.batched_counts(E(spark, sf_dir).withColumn("key", F.col("seq") % 3))
+
+
+# Scalars, sources and the registry
+
+
+@registered(f"SELECT seq, {TEXT_TIME.format('ts_ns')} AS text, ts_ns / 1e9 AS seconds, ts_ns AS parsed FROM S")
+def timestamp_text(spark, sf_dir):
+    rows = S(spark, sf_dir).select("seq", timeutil.timestamp_text(F.col("ts_ns")).alias("text"), timeutil.unix_seconds(F.col("ts_ns")).alias("seconds"))
+    return rows.withColumn("parsed", timeutil.parse_timestamp_column(F.col("text")))
+
+
+@registered("SELECT seq, trim(regexp_replace(trim(metric || ' #' || CAST(seq % 5 AS VARCHAR) || '?? x '), '[^a-zA-Z0-9.\\-_/]+', '_', 'g'), '_.-/') AS name FROM S")
+def sanitized_names(spark, sf_dir):
+    raw = F.concat(F.col("metric"), F.lit(" #"), (F.col("seq") % 5).cast("string"), F.lit("?? x "))
+    return S(spark, sf_dir).select("seq", names.sanitize(raw).alias("name"))
+
+
+@registered("SELECT metric, CASE WHEN max(CAST(seq % 7 = 0 AS INT)) = 1 THEN 'int32' ELSE 'float32' END AS value_type, CASE WHEN max(CAST(seq % 7 = 0 AS INT)) = 1 AND max(CAST(seq % 7 = 1 AS INT)) = 1 THEN 'mixed int and float' END AS error FROM (SELECT CASE WHEN seq % 2 = 0 THEN metric ELSE 'x' END AS metric, CASE WHEN seq % 2 = 0 THEN seq % 7 ELSE 3 END AS seq FROM S) GROUP BY 1")
+def inferred_types(spark, sf_dir):
+    kind = F.when(F.col("seq") % 2 == 0, F.col("seq") % 7).otherwise(3)
+    literal = F.when(kind == 0, "5i").when(kind == 1, "5.5").otherwise("5")
+    rows = S(spark, sf_dir).select(F.when(F.col("seq") % 2 == 0, F.col("metric")).otherwise("x").alias("metric"), literal.alias("literal"))
+    return line_protocol.infer_types(rows, F.col("literal"))
+
+
+@registered("SELECT seq, CAST(round((CASE WHEN seq % 2 = 0 THEN seq ELSE -seq END) * 0.5) AS INT) AS scaled, CASE WHEN seq % 3 = 0 THEN NULL ELSE (1000 - seq % 1000) / CAST(1000 AS DOUBLE) * 100.0 END AS used FROM (SELECT seq FROM S)")
+def scaled_and_used(spark, sf_dir):
+    signed = F.when(F.col("seq") % 2 == 0, F.col("seq")).otherwise(-F.col("seq"))
+    total = F.when(F.col("seq") % 3 == 0, 0).otherwise(1000)
+    return S(spark, sf_dir).select("seq", values.scale_to_int(signed.cast("double"), 0.5).alias("scaled"), rates.filesystem_used(total, F.col("seq") % 1000).alias("used"))
+
+
+@registered("SELECT name, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'int32' ELSE 'float32' END AS value_type, count(*) AS n, sum(length(payload)) AS payload_bytes FROM E GROUP BY 1, 2")
+def topic_events(spark, sf_dir):
+    left = F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, "7").otherwise("7.5")
+    body = F.concat(left, F.lit("|"), F.col("payload"))
+    messages = topics.select(E(spark, sf_dir).select(F.concat(F.lit("ev/"), F.col("name")).alias("topic"), body.alias("body")), "ev/+", db="E")
+    rows = topics.events(messages, json=False, default_ts=0)
+    return rows.groupBy("name", "value_type").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload").cast("long")).alias("payload_bytes"))
+
+
+@registered("SELECT 'internal' AS db, 'engine/' || metric AS metric, CAST(7 AS BIGINT) AS ts_ns, CAST(CAST(count(*) AS FLOAT) AS DOUBLE) AS value FROM S GROUP BY metric")
+def self_metrics(spark, sf_dir):
+    counts = S(spark, sf_dir).groupBy(F.col("metric").alias("key")).agg(F.count("*").alias("value"))
+    return retention.self_metrics(counts, ts_ns=7).withColumn("value", F.col("value").cast("double"))
+
+
+@registered("SELECT name, ts_ns, seq FROM (SELECT CASE seq % 3 WHEN 0 THEN 'engine.db.created' WHEN 1 THEN 'engine.wal.reset' ELSE 'engine.db.deleted' END AS name, ts_ns, seq FROM E) WHERE name LIKE 'engine.db.%' ORDER BY ts_ns DESC, seq DESC LIMIT 50")
+def events_of_group(spark, sf_dir):
+    name = F.when(F.col("seq") % 3 == 0, "engine.db.created").when(F.col("seq") % 3 == 1, "engine.wal.reset").otherwise("engine.db.deleted")
+    return registry.of_group(E(spark, sf_dir).withColumn("name", name), registry.registry(spark), "engine.db", 50).select("name", "ts_ns", "seq")
+
+
+@registered("SELECT metric, count(*) AS n FROM S WHERE strftime(make_timestamp(ts_ns // 1000), '%Y-%m-%d') = '2024-01-09' AND ts_ns > 1704790000000000000 GROUP BY 1")
+def salvaged(spark, sf_dir):
+    rows = retention.salvaged(S(spark, sf_dir), "2024-01-09", "day", 1704790000000000000)
+    return rows.groupBy("metric").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT seq, CASE WHEN seq % 5 = 0 THEN '--' WHEN seq % 5 = 1 THEN CAST(seq AS VARCHAR) || '%' WHEN seq % 5 = 2 THEN CAST(seq AS VARCHAR) || '.5%' ELSE CAST(seq AS VARCHAR) || '.25%' END AS text FROM S")
+def widget_text(spark, sf_dir):
+    v = F.when(F.col("seq") % 5 == 0, float("nan")).when(F.col("seq") % 5 == 1, F.col("seq").cast("double")).when(F.col("seq") % 5 == 2, F.col("seq") + 0.5).otherwise(F.col("seq") + 0.25)
+    return S(spark, sf_dir).select("seq", display.widget_text(v, 2, "%").alias("text"))
