@@ -108,6 +108,32 @@ def test_engine(spark, tmp_path):
     assert e.lineage("db", "m")[0] == [] and e.lineage("hours", "m.sum")[0] == [(1, "days", "m.sum.max", "max", "d")]
 
 
+def test_incremental_rollups(spark, tmp_path):
+    jobs = [Job("h", "db", "hours", H, source_pattern="*", aggregates=("sum",), grace_ns=0), Job("d", "hours", "days", D, source_metric="m.sum", aggregates=("sum",), grace_ns=0)]
+    e = Engine(spark, str(tmp_path / "store"), jobs=jobs)
+    feed = lambda a, b: e.import_lines(lines(spark, *[f"db/m 1 {T0 + k * 1800 * timeutil.NS}" for k in range(a, b)]))
+    feed(0, 20)
+    assert e.roll_up("db", T0 + 9 * D) == {"hours": 9} and e.roll_up("db", T0 + 9 * D) == {}
+    feed(20, 100)
+    assert e.roll_up("db", T0 + 9 * D) == {"hours": 40, "days": 2}
+    assert e.store.scan("hours").count() == 49 and {r["value"] for r in e.store.scan("days").collect()} == {48.0}
+    log = e.store.checkpoints("db")
+    assert log.count() == 2 and log.agg(F.max("completed_ts_ns")).first()[0] == T0 + 49 * H
+    e.store.drop_checkpoints("db")  # as if the run had failed before they were written
+    assert e.roll_up("db", T0 + 9 * D) == {}
+    assert e.backfill(["db"], T0 + 9 * D) == ["hours", "days"] and e.store.scan("hours").count() == 49 and e.store.checkpoints("db") is None
+
+
+def test_bodies_and_offline_parts(spark, tmp_path):
+    bodies = spark.createDataFrame([("db/m 1 1\ndb/m bad 2\ndb/m 3 3",), ('{"lines":"db/m 4 4\\ndb/m 5 5"}',), ('{"lines":["db/m 6 6"]}',)], "body string")
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.import_bodies(bodies) == 4 and sorted(r["ts_ns"] for r in e.store.scan("db").collect()) == [1, 4, 5, 6]
+    rows = line_protocol.typed_parts(lines(spark, "db/a 1i 5", "db/a 2 6", "db/b 1.5 86400000000005"))
+    assert [tuple(r) for r in rows.orderBy("ts_ns").select("metric", "value_type", "int32_value", "float32_value", "partition_key").collect()] == [("a", "int32", 1, None, "1970-01-01"), ("a", "int32", 2, None, "1970-01-01"), ("b", "float32", None, 1.5, "1970-01-02")]
+    with pytest.raises(Exception, match="a: mixed int and float"):
+        line_protocol.typed_parts(lines(spark, "db/a 1i 5", "db/a 2.5 6")).collect()
+
+
 def test_events_of_an_engine(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     body = ",".join(f'{{"db":"ev","name":"{"ab"[k % 2]}","ts":{T0 + k * H},"value":{k}}}' for k in range(30))

@@ -25,8 +25,11 @@ class Engine:
     def import_lines(self, lines: DataFrame, db: str | None = None, default_ts: int | None = None, roll_up: bool = False) -> int:
         """Parse, check, drop stale rows, seal; the number of rows stored. A bad line fails the import before anything is stored."""
         parsed = line_protocol.strict(line_protocol.parse(lines, db=db, default_ts=default_ts))
-        rows = parsed.withColumn("seq", F.monotonically_increasing_id() if "seq" not in parsed.columns else F.col("seq")).where(F.col("error").isNull())
-        rows = filters.pinned(rows)
+        return self._accept(parsed.withColumn("seq", F.monotonically_increasing_id() if "seq" not in parsed.columns else F.col("seq")), roll_up)
+
+    def _accept(self, parsed: DataFrame, roll_up: bool = False) -> int:
+        """Store good lines in arrival order, without stale ones; a second type of a metric fails."""
+        rows = filters.pinned(parsed.where(F.col("error").isNull()))
         wrong = F.raise_error(F.concat(F.lit("type of "), F.col("metric"), F.lit(" is "), F.col("pinned_type"))).cast("boolean")
         rows = filters.not_stale(rows.where(F.coalesce(F.when(F.col("accepted"), True), wrong)))
         stored = 0
@@ -114,19 +117,55 @@ class Engine:
 
     # maintenance
 
+    def roll_up(self, db: str, now_ns: int | None = None) -> dict[str, int]:
+        """Write what the jobs of a database have due since their checkpoints; rows written by destination.
+
+        A destination's rows are written before the checkpoints. Periods that are already there, from a run that failed between the two, are not
+        written again. Destinations that have jobs of their own follow.
+        """
+        now, written = timeutil._now(now_ns), {}
+        chosen = rollup.closure(self.jobs, [db])
+        for source in rollup.order(chosen):
+            for plan in rollup.plans([j for j in chosen if j.source_db == source]):
+                rows, done = rollup.run(self.store.scan(source), plan, now, self.store.checkpoints(source))
+                d = plan.destination_db
+                typed = self._as_stored(rows).join(self.store.scan(d).select("metric", "ts_ns"), ["metric", "ts_ns"], "left_anti")
+                n = typed.count()
+                if n:
+                    self.store.write(d, typed)
+                    written[d] = written.get(d, 0) + n
+                last = self.store.checkpoints(source)
+                seq = 0 if last is None else last.agg(F.max("seq")).first()[0] + 1
+                done = done.persist()
+                if not done.isEmpty():
+                    self.store.add_checkpoints(source, done, seq)
+                done.unpersist()
+        return written
+
+    @staticmethod
+    def _as_stored(rows: DataFrame) -> DataFrame:
+        f = F.col("value").cast("float")
+        return rows.select("metric", "ts_ns", F.lit("float32").alias("value_type"), F.lit(None).cast("int").alias("int32_value"), f.alias("float32_value"), f.alias("value"), F.col("ts_ns").alias("seq"))
+
+    def import_bodies(self, bodies: DataFrame, default_ts: int | None = None) -> int:
+        """Lines of request bodies up to each body's first bad line; the number stored."""
+        good = line_protocol.until_first_error(line_protocol.from_bodies(bodies, default_ts=default_ts))
+        return self._accept(good.withColumn("seq", F.col("file") * 10_000_000 + F.col("line_no")))
+
     def backfill(self, sources: Sequence[str] = (), now_ns: int | None = None) -> list[str]:
         """Make every destination of the sources anew; the databases made."""
         chosen = rollup.closure(self.jobs, sources)
         now = timeutil._now(now_ns)
         done = []
         for db in rollup.order(chosen):
+            self.store.drop_checkpoints(db)
             made: dict[str, list[DataFrame]] = {}
             for plan in rollup.plans([j for j in chosen if j.source_db == db]):
                 made.setdefault(plan.destination_db, []).append(rollup.run(self.store.scan(db), plan, now)[0])
             for d, parts in made.items():
                 self.store.wipe(d)
                 for rows in parts:
-                    typed = rows.select("metric", "ts_ns", F.lit("float32").alias("value_type"), F.lit(None).cast("int").alias("int32_value"), F.col("value").cast("float").alias("float32_value"), F.col("value").cast("float").alias("value"), F.col("ts_ns").alias("seq"))
+                    typed = self._as_stored(rows)
                     self.store.write(d, typed)
                 done.append(d)
         return done

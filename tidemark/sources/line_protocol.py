@@ -49,6 +49,17 @@ def read(spark: SparkSession, path: str, db: str | None = None, default_ts: int
     return parse(text.withColumn("line_no", F.col("line_no") + 1), db=db, default_ts=default_ts)
 
 
+def from_bodies(bodies: DataFrame, body: str = "body", **how) -> DataFrame:
+    """Parsed lines of request bodies: plain text, or JSON with the text (or a list of lines) under lines; with file (the body's number) and line_no."""
+    b = F.trim(F.col(body))
+    inner = F.get_json_object(b, "$.lines")
+    listed = F.from_json(inner, "array<string>")
+    text = F.when(b.startswith("{"), F.when(inner.startswith("["), F.array_join(listed, "\n")).otherwise(inner)).otherwise(F.col(body))
+    numbered = bodies.select(F.monotonically_increasing_id().alias("file"), text.alias("lp_body"))  # before lines are made of it
+    rows = numbered.select("file", F.posexplode(F.split("lp_body", "\n")).alias("line_no", "line"))
+    return parse(rows.withColumn("line_no", F.col("line_no") + 1), **how)
+
+
 def until_first_error(parsed: DataFrame) -> DataFrame:
     """The good lines before the first bad one of each file: what an import that stops there has stored."""
     bad = parsed.where(F.col("error").isNotNull()).groupBy("file").agg(F.min("line_no").alias("bad_line"))
@@ -78,6 +89,16 @@ def export_parts(samples: DataFrame, with_db: bool = False) -> DataFrame:
     return samples.orderBy("partition_key", "ts_ns", "metric", "seq").select("partition_key", to_line(True, with_db).alias("line"))
 
 
+def typed_parts(lines: DataFrame, line: str = "line", mode: str = "day", default_ts: int | None = None) -> DataFrame:
+    """Samples with their partition for an offline import: a metric's type is inferred from all of its literals, and mixed ones fail when run."""
+    parsed = parse(lines.withColumn("lp_value", F.try_element_at(F.split(F.regexp_replace(F.trim(line), r"\s+", " "), " "), F.lit(2))), line, default_ts).where("error IS NULL")
+    kinds = infer_types(parsed, F.col("lp_value")).select("metric", F.when(F.col("error").isNotNull(), F.raise_error(F.concat("metric", F.lit(": "), "error")).cast("string")).otherwise(F.col("value_type")).alias("kind"))
+    rows = parsed.drop("value_type").join(kinds, "metric").withColumnRenamed("kind", "value_type")
+    whole = F.when(F.col("value_type") == values.INT, F.coalesce("int32_value", F.col("lp_value").try_cast("int")))
+    real = F.when(F.col("value_type") == values.FLOAT, F.col("float32_value"))
+    return rows.withColumns({"int32_value": whole, "float32_value": real}).withColumn("partition_key", timeutil.partition_key(F.col("ts_ns"), mode)).drop("lp_value")
+
+
 def infer_types(parsed: DataFrame, literal: Column) -> DataFrame:
     """metric, value_type, error: any suffixed literal makes the metric int32; beside one that looks like a float that's an error."""
     ints, floats = F.max(values.has_int_suffix(literal).cast("int")), F.max(values.looks_like_float(literal).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, timeutil
-from ..schema import EVENTS, SAMPLES
+from ..schema import CHECKPOINTS, EVENTS, SAMPLES
 
 SCHEMAS = {"samples": SAMPLES, "events": EVENTS}
 NAME = {"samples": "metric", "events": "name"}
@@ -97,6 +97,21 @@ class Store:
                 df = df.where(F.col("partition_key") <= timeutil.partition_key_of(end_ns, self.mode))
         return df if wanted is None else df.where(F.col(NAME[kind]).isin(list(wanted)))
 
+    # checkpoints of rollups
+
+    def checkpoints(self, db: str) -> DataFrame | None:
+        """db, job_id, completed_ts_ns, seq as they were appended; the last of a job holds."""
+        path = f"{self.root}/{db}/checkpoints"
+        return self.spark.read.schema(CHECKPOINTS).parquet(path) if self._exists(path) else None
+
+    def add_checkpoints(self, db: str, done: DataFrame, seq: int) -> None:
+        """Append job_id, completed_ts_ns. Call it after the rows they speak of are written: a failure between the two makes the periods anew."""
+        done.select(F.lit(db).alias("db"), "job_id", "completed_ts_ns", F.lit(seq).cast("long").alias("seq")).write.mode("append").parquet(f"{self.root}/{db}/checkpoints")
+
+    def drop_checkpoints(self, db: str) -> None:
+        make, fs = self._fs()
+        fs.delete(make(f"{self.root}/{db}/checkpoints"), True)
+
     # maintenance
 
     def rewrite(self, db: str, key: str, kind: str = "samples") -> dict[str, int]:
