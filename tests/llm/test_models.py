@@ -51,10 +51,30 @@ def test_word_scores_are_means_over_subwords():
     rng = np.random.default_rng(3)
     table = rng.normal(size=tx.BUCKETS)
     chunk = next(tk.chunks(pa.array(["Über a  tiny Test", "", "again test\n"])))
-    w, s = tx.word_scores(chunk, table)
-    w2, sub = tx.subwords(chunk)
+    row, h, s = tx.word_scores(chunk, table)
+    _, sub = tx.subwords(chunk)
     want = [table[sub.buckets[a:b]].mean() for a, b in zip(sub.bounds[:-1], sub.bounds[1:])]
-    assert np.allclose(s, want) and len(w) == 6 and w.hash[3] == w.hash[5]
+    assert np.allclose(s, want) and row.tolist() == [0, 0, 0, 0, 2, 2] and h[3] == h[5]
+
+
+def test_long_texts_in_parts_score_as_in_one():
+    rng = np.random.default_rng(4)
+    table = rng.normal(size=tx.BUCKETS)
+    text = " ".join("".join(rng.choice(list("abcé"), rng.integers(1, 12))) for _ in range(400)) + " " + "y" * 300
+    chunk = next(tk.chunks(pa.array([text, "z z"])))
+    parts = list(tx.pieces(chunk, 100))
+    assert len(parts) > 10 and b"".join(p.data.tobytes() for _, p in parts) == (text + "z z").encode()
+    got = [np.concatenate(x) for x in zip(*[(w.row + row, w.hash, s) for row, p in parts for w, s in [tx.part_scores(p, table)]])]
+    want = tx.word_scores(chunk, table)
+    assert all(np.allclose(a.astype(float), b.astype(float)) for a, b in zip(got, want))
+
+
+def test_hashes_do_not_depend_on_how_many_bytes_are_hashed_at_once(monkeypatch):
+    texts = pa.array(["ab cd " + "q" * 1000 + " ef", "", "x" * 333, "cd"])
+    plain = tk.words(next(tk.chunks(texts)), tk.FOLDED)
+    monkeypatch.setattr(tk, "HASH_BYTES", 64)
+    small = tk.words(next(tk.chunks(texts)), tk.FOLDED)
+    assert (plain.hash == small.hash).all() and plain.hash[1] == plain.hash[5] and len(set(plain.hash.tolist())) == 5
 
 
 def test_toxicity_edges(spark, edges, clashing, nothing, labels, no_labels):

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh
+from .common import fresh, small_batches
 
 
 def map_text(docs: DataFrame, keep: Sequence[str], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], schema: str, text: str = "text") -> DataFrame:
@@ -17,6 +17,7 @@ def map_text(docs: DataFrame, keep: Sequence[str], make: Callable[[], Callable[[
 
     make runs once per task, on the executor. Kept columns must not be named as those of the schema.
     """
+    small_batches(docs.sparkSession)
     own = fresh("text_read", keep)
     kept = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias(own))
     given = kept.drop(own).schema
@@ -28,5 +29,7 @@ def map_text(docs: DataFrame, keep: Sequence[str], make: Callable[[], Callable[[
         for b in batches:
             if b.num_rows:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *apply(b.column(b.num_columns - 1))], names=names)
+            del b
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(run, StructType([*given.fields, *out.fields]))

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 #: Rows of a one-row-per-key table that may be broadcast; each row is under 200 bytes, so 20 MB at most.
 BROADCAST_ROWS = 100_000
 
-BATCH_BYTES = "8m"
+BATCH_BYTES = 4 << 20
 
 #: Words are runs of anything but blank, tab, line feed, vertical tab, form feed and carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -32,16 +31,16 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints").rstrip("/")
 
 
-@contextmanager
-def batches_of(spark: SparkSession, size: str) -> Iterator[None]:
-    """Arrow batches of about that size at most for what runs meanwhile: a worker holds one, and the JVM up to two."""
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limit on the bytes of an Arrow batch to BATCH_BYTES, if it is higher.
+
+    Texts differ in length by orders of magnitude: a worker holds a batch of them, and the JVM up to two. The limit is read when a plan runs,
+    which may be after the operator has returned, so it stays.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def shared_table(df: DataFrame) -> DataFrame:
@@ -52,8 +51,8 @@ def shared_table(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-    with batches_of(spark, BATCH_BYTES):
-        df.write.parquet(path)
+    small_batches(spark)
+    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)

@@ -15,7 +15,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
+#: Bytes hashed at once: what hashing needs beside a text doesn't grow with it.
+HASH_BYTES = 1 << 20
 _MULTIPLIER = 0x9E3779B97F4A7C13 & ~7 | 3  # 3 modulo 8: powers of it differ in high and low bits
 
 
@@ -44,7 +46,7 @@ class Powers:
     @classmethod
     def of(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
-            n = max(n, CHUNK_BYTES + 1)
+            n = max(n, HASH_BYTES + 1)
             for name, base in (("up", _MULTIPLIER), ("down", pow(_MULTIPLIER, -1, 1 << 64))):
                 steps = np.full(n, base, dtype=U64)
                 steps[0] = 1
@@ -147,14 +149,35 @@ def runs(chunk: Chunk, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(chunk.offsets[1:], start, side="right")
 
 
+def run_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each run of bytes the sum of their codes times powers of the multiplier, from 0 at the run's start, modulo 2**64.
+
+    The code of bytes between runs is 0. Runs are summed in groups of HASH_BYTES; a longer one in parts.
+    """
+    out = np.empty(len(start), dtype=U64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(start):
+            first = start[at]
+            to = max(at + 1, int(np.searchsorted(end, first + HASH_BYTES, side="right")))
+            n = int(end[to - 1] - first)
+            up, down = Powers.of(min(n, HASH_BYTES))
+            if n <= HASH_BYTES:
+                where = start[at:to] - first
+                out[at:to] = np.add.reduceat(code[data[first : first + n]] * up[:n], where) * down[where]
+            else:
+                total = 0
+                for k in range(0, n, HASH_BYTES):
+                    part = code[data[first + k : first + min(n, k + HASH_BYTES)]]
+                    total += int((part * up[: len(part)]).sum(dtype=U64)) * pow(_MULTIPLIER, k, 1 << 64)
+                out[at] = U64(total % (1 << 64))
+            at = to
+    return out
+
+
 def words(chunk: Chunk, alphabet: Alphabet) -> Words:
     start, end, row = runs(chunk, alphabet.inside[chunk.data])
-    if not len(start):
-        return Words(start, end, row, np.empty(0, dtype=U64))
-    up, down = Powers.of(len(chunk.data))
-    with np.errstate(over="ignore"):
-        h = np.add.reduceat(alphabet.code[chunk.data] * up[: len(chunk.data)], start) * down[start]
-    return Words(start, end, row, mix(h))
+    return Words(start, end, row, mix(run_sums(chunk.data, start, end, alphabet.code)))
 
 
 _STEPS = stream(77, 64) | U64(1)

@@ -83,9 +83,8 @@ def stats(texts: pa.Array) -> list[pa.Array]:
         start, end, row = tk.runs(chunk, LINE.inside[data])
         lines, dups = np.zeros(rows, dtype=np.int64), np.zeros(rows, dtype=np.int64)
         if len(start):
-            up, down = tk.Powers.of(len(data))
             with np.errstate(over="ignore"):
-                h = tk.mix(np.add.reduceat(LINE.code[data] * up[: len(data)], start) * down[start] + (end - start).astype(tk.U64))
+                h = tk.mix(tk.run_sums(data, start, end, LINE.code) + (end - start).astype(tk.U64))
             upto = np.concatenate([[0], np.cumsum(inside)])
             worded = upto[end] > upto[start]
             h, row = h[worded], row[worded]

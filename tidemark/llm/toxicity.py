@@ -16,6 +16,7 @@ not looked at.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,8 +77,33 @@ def gram_hashes(data: np.ndarray, inside: np.ndarray) -> list[tuple[np.ndarray,
     return out
 
 
-def word_scores(chunk: tk.Chunk, table: np.ndarray) -> tuple[tk.Words, np.ndarray]:
-    """The words of a chunk and the mean of the table over the subwords of each."""
+def pieces(chunk: tk.Chunk, limit: int = tk.CHUNK_BYTES) -> Iterator[tuple[int, tk.Chunk]]:
+    """A chunk as it is, or one long text in parts of about limit bytes that end where a word does, with the row that each begins in."""
+    n = len(chunk.data)
+    if n <= 2 * limit:
+        yield 0, chunk
+        return
+    for row in range(len(chunk)):
+        at, past = int(chunk.offsets[row]), int(chunk.offsets[row + 1])
+        while at < past:
+            to = min(at + limit, past)
+            while to < past and tk.FOLDED.inside[chunk.data[to]]:
+                rest = np.flatnonzero(~tk.FOLDED.inside[chunk.data[to : min(to + limit, past)]])
+                to = to + int(rest[0]) if len(rest) else min(to + limit, past)
+            yield row, tk.Chunk(chunk.first, chunk.data[at:to], np.array([0, to - at]))
+            at = to
+
+
+def word_scores(chunk: tk.Chunk, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each word of a chunk, and the mean of the table over its subwords."""
+    found = []
+    for row, part in pieces(chunk):
+        w, s = part_scores(part, table)
+        found.append((w.row + row, w.hash, s))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64), np.empty(0, dtype=tk.U64), np.empty(0))
+
+
+def part_scores(chunk: tk.Chunk, table: np.ndarray) -> tuple[tk.Words, np.ndarray]:
     padded, inside = pad(chunk)
     w = tk.words(padded, tk.FOLDED)
     if not len(w):
@@ -117,9 +143,9 @@ class Model:
     def logits(self, texts: pa.Array) -> np.ndarray:
         out = []
         for chunk in tk.chunks(texts, 1 << 19):
-            w, s = word_scores(chunk, self.table)
-            _, later = repeated(of_row(w.hash, w.row))
-            row, s = w.row[~later], s[~later]
+            row, h, s = word_scores(chunk, self.table)
+            _, later = repeated(of_row(h, row))
+            row, s = row[~later], s[~later]
             n = np.bincount(row, minlength=len(chunk))
             out.append(self.intercept + np.bincount(row, s, minlength=len(chunk)) / (n + SHRINK))
         return np.concatenate(out) if out else np.empty(0)
