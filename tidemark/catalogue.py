@@ -297,15 +297,25 @@ def lp_errors(spark, sf_dir):
     return line_protocol.parse(lines, default_ts=0).select("seq", "value_type", "error")
 
 
-@registered("SELECT name, ts_ns, value_type, v AS value, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'int32' ELSE 'float32' END AS value_type, CASE WHEN seq % 3 = 1 THEN CAST(seq AS DOUBLE) WHEN seq % 3 = 2 THEN seq + 0.5 END AS v FROM E WHERE seq < 1000)")
-def event_json(spark, sf_dir):
+def _event_json(events):
     value = F.when(F.col("seq") % 3 == 0, "null").when(F.col("seq") % 3 == 1, F.col("seq").cast("string")).otherwise(F.concat(F.col("seq").cast("string"), F.lit(".5")))
     body = F.concat(F.lit('[{"db":"E","name":"'), F.col("name"), F.lit('","ts":'), F.col("ts_ns").cast("string"), F.lit(',"value":'), value, F.lit(',"payload":'), F.col("payload"), F.lit("}]"))
-    rows = json_events.parse(json_events.objects(E(spark, sf_dir).where("seq < 1000").select(body.alias("body"))))
+    rows = json_events.parse(json_events.objects(events.select(body.alias("body"))))
     v = F.coalesce(F.col("int32_value").cast("double"), F.col("float32_value").cast("double"))
     return rows.select("name", "ts_ns", "value_type", v.alias("value"), F.get_json_object(F.col("payload").cast("string"), "$.k").cast("long").alias("k"))
 
 
+@registered("SELECT name, ts_ns, value_type, v AS value, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'int32' ELSE 'float32' END AS value_type, CASE WHEN seq % 3 = 1 THEN CAST(seq AS DOUBLE) WHEN seq % 3 = 2 THEN seq + 0.5 END AS v FROM E WHERE seq < 1000)")
+def event_json(spark, sf_dir):
+    return _event_json(E(spark, sf_dir).where("seq < 1000"))
+
+
+@registered("SELECT name, ts_ns, value_type, v AS value, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'int32' ELSE 'float32' END AS value_type, CASE WHEN seq % 3 = 1 THEN CAST(seq AS DOUBLE) WHEN seq % 3 = 2 THEN seq + 0.5 END AS v FROM E)")
+def event_json_all(spark, sf_dir):
+    """event_json over the whole events table; event_json's own SQL names the first 1,000 ids."""
+    return _event_json(E(spark, sf_dir))
+
+
 @registered("SELECT 'plant' AS db, name || '/' || CAST(seq % 4 AS VARCHAR) AS metric, ts_ns, CASE WHEN seq % 2 = 0 THEN 'int32' ELSE 'float32' END AS value_type, CAST(seq + (seq % 2) * 0.25 AS DOUBLE) AS value FROM E WHERE name <> 'view'")
 def topic_metrics(spark, sf_dir):
     number = F.when(F.col("seq") % 2 == 0, F.concat(F.col("seq").cast("string"), F.lit(".0"))).otherwise(F.concat(F.col("seq").cast("string"), F.lit(".25")))
