@@ -189,3 +189,41 @@ def test_language_model_edges(spark, edges, clashing, nothing):
     assert none["n_tokens"] == 0 and none["log_prob"] == 0 and none["mean_log_prob"] is None
     assert all(r["log_prob"] < 0 for r in rows if r["n_tokens"])
     assert pl.lm_scores(clashing, 1).count() == clashing.count() and pl.lm_scores(nothing).count() == 0
+
+
+def test_words_outside_the_vocabulary_are_scored_by_their_counts(spark, monkeypatch):
+    known = [f"k{i}" for i in range(pl.KNOWN)]
+    docs = [" ".join(known * 9)] + [" ".join(["k0", f"x{i}"] * (1 + i % 4)) for i in range(600)] + ["k0 x3", "k0 k1", "", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string")
+    words = lambda t: (t or "").split()
+    n = Counter(w for t in docs for w in words(t))
+    chunk = lambda t: next(iter(tk.chunks(pa.array([t]))))
+    bucket = {w: int(tk.words(chunk(w), tk.FOLDED).hash[0] & tk.U64(pl.OTHERS - 1)) for w in n}
+    other = [w for w in n if w[0] == "x"]
+    total, distinct = Counter(), Counter(bucket[w] for w in other)
+    for w in other:
+        total[bucket[w]] += n[w]
+    vocabulary, p, _, _ = pl.fit(df, 0)
+
+    def want(text):
+        if not words(text):
+            return 0.0
+        w = tk.words(chunk(text), tk.FOLDED)
+        t = vocabulary.tokens(w.hash)
+        within = [np.log(n[x] / (total[bucket[x]] + distinct[bucket[x]])) for x in words(text) if x[0] == "x"]
+        return pl.log_probs(p, t, pl.context(t, w.row)).sum() + sum(within)
+
+    for held in (pl.HELD, pl.KNOWN + 200, 0):  # all counts in the tasks, some, none
+        monkeypatch.setattr(pl, "HELD", held)
+        rows = {r["doc_id"]: r for r in pl.lm_scores(df, 0).collect()}
+        assert len(rows) == len(docs)
+        for i, t in enumerate(docs):
+            assert rows[i]["log_prob"] == pytest.approx(want(t), rel=1e-4, abs=1e-6)
+            assert (rows[i]["mean_log_prob"] is None) == (not words(t))
+
+
+def test_an_unseen_word_scores_below_every_counted_one():
+    hashes = np.array([7, 7 + pl.OTHERS], dtype=tk.U64)
+    others = pl.Others(np.full(pl.OTHERS, 4.0), np.full(pl.OTHERS, 2.0), hashes, np.array([3, 1]), 1)
+    got, rare = others.log_probs(np.array([7, 7 + pl.OTHERS, 7 + 2 * pl.OTHERS], dtype=tk.U64))
+    assert not rare.any() and np.allclose(got[:2], np.log([3 / 6, 1 / 6])) and got[2] < got[1] - 20

@@ -4,8 +4,10 @@ A small network predicts every word of a text from the ``SIDE`` words before and
 neighbours' embeddings side by side, a tanh layer, a softmax over ``CLASSES`` classes of words and one over the words of
 the class. A document's score is the sum of its words' conditional log-probabilities.
 
-The vocabulary is the most frequent words of all documents; every other word is one of ``OTHERS`` hash buckets. Word counts are
-taken over the whole corpus. Training sees every document once: in each of ``ROUNDS`` rounds every task starts from the
+The vocabulary of the network is the most frequent words of all documents; every other word is one of ``OTHERS`` hash buckets to it, and
+is scored as log p(bucket) + log p(word | bucket). Word counts are taken over the whole corpus: of a bucket with N words, D of them
+distinct, a word that occurs n times has n / (N + D), and D / (N + D) is the share of unseen words, spread over the bucket's hashes. Every
+task holds the counts of up to ``HELD`` words, the most frequent; those of rarer words are joined, so that no word is left out. Training sees every document once: in each of ``ROUNDS`` rounds every task starts from the
 common parameters, goes through those of its documents whose turn it is, in minibatches, and gives its parameters with the number of
 words it saw; these are averaged by weight in a tree of ``FAN`` per step, so that the driver gets FAN sets of parameters at
 most, however many tasks there are. Biases start at the corpus's word frequencies, so that an untrained network is a unigram model.
@@ -33,6 +35,8 @@ SIDE, DIM, HIDDEN = 2, 12, 24
 CLASSES, PER_CLASS, OTHERS = 32, 64, 256
 SIZE = CLASSES * PER_CLASS
 KNOWN = SIZE - OTHERS
+#: Words whose counts every task holds, 16 bytes each, and the log-probability of a hash among those of its bucket.
+HELD, LOG_HASH = 1 << 20, -(64 * np.log(2) - np.log(OTHERS))
 ROUNDS, BATCH, RATE, FAN = 3, 8192, 0.01, 16
 SHAPES = {"e": (SIZE + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES, HIDDEN, PER_CLASS), "ob": (CLASSES, PER_CLASS)}
 Params = dict[str, np.ndarray]
@@ -78,6 +82,40 @@ class Vocabulary:
         return held, ids, several if several.any() else np.empty(0, dtype=bool)
 
 
+@dataclass
+class Others:
+    """Counts of the words outside the vocabulary: all and distinct ones of each bucket, and of each word that is held, by hash.
+
+    Words with fewer than least occurrences are in counts only; there are none if least is 1.
+    """
+
+    total: np.ndarray
+    distinct: np.ndarray
+    hashes: np.ndarray
+    n: np.ndarray
+    least: int
+
+    @cached_property
+    def log_all(self) -> np.ndarray:
+        return np.log(self.total + np.maximum(self.distinct, 1))
+
+    @cached_property
+    def log_unseen(self) -> np.ndarray:
+        """Of a word that was not counted, before log_all is taken off."""
+        return np.log(np.maximum(self.distinct, 1)) + LOG_HASH
+
+    def log_probs(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log p(word | bucket) of hashes, and which are left to the join: they have the part of their bucket only."""
+        k = (h & tk.U64(OTHERS - 1)).astype(np.int64)
+        found, n = np.zeros(len(h), dtype=bool), np.ones(len(h), dtype=np.int64)
+        if len(self.hashes):
+            place = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            found = self.hashes[place] == h
+            n[found] = self.n[place[found]]
+        rare = ~found if self.least > 1 else np.zeros(len(h), dtype=bool)
+        return np.where(found | rare, np.log(n), self.log_unseen[k]) - self.log_all[k], rare
+
+
 def context(tokens: np.ndarray, row: np.ndarray) -> np.ndarray:
     """The ids of the words around each word; SIZE stands for none."""
     out = np.full((len(tokens), 2 * SIDE), SIZE)
@@ -188,18 +226,36 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def start(docs: DataFrame, seed: int) -> tuple[Vocabulary, Params]:
-    """The vocabulary and parameters that know word frequencies only."""
+def held_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes in order and counts of the most frequent words, up to HELD, and the smallest count that is in: all words of a count are in or out."""
+    upto, least = 0, None
+    for r in sorted(counts.groupBy("n").agg(F.count("*").alias("words")).collect(), key=lambda r: -r["n"]):  # a row per distinct count
+        least = r["n"] + 1 if least is None else least
+        if upto + r["words"] > HELD:
+            break
+        upto, least = upto + r["words"], r["n"]
+    else:
+        least = 1
+    t = counts.where(F.col("n") >= least).toArrow()  # HELD rows at most
+    hashes, n = t["hash"].to_numpy().view(tk.U64), t["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], n[order], least
+
+
+def start(docs: DataFrame, seed: int) -> tuple[Vocabulary, Params, Others, DataFrame]:
+    """The vocabulary, parameters that know word frequencies only, and the counts of other words: what is held, and of all words."""
     counts = shared_table(word_counts(docs))
-    other = counts.groupBy(F.pmod("hash", F.lit(OTHERS)).alias("k")).agg(F.sum("n").alias("n"))  # a row per bucket; corrected below
+    other = counts.groupBy(F.pmod("hash", F.lit(OTHERS)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("d"))  # a row per bucket; corrected below
     top = counts.orderBy(F.desc("n"), "hash").limit(KNOWN).collect()  # the vocabulary, of fixed size
-    n = np.zeros(SIZE)
+    n, distinct = np.zeros(SIZE), np.zeros(OTHERS)
     for r in other.collect():
-        n[KNOWN + r["k"]] = r["n"]
+        n[KNOWN + r["k"]], distinct[r["k"]] = r["n"], r["d"]
     hashes = np.array([r["hash"] for r in top], dtype=np.int64)
     for i, r in enumerate(top):
         n[i] = r["n"]
         n[KNOWN + r["hash"] % OTHERS] -= r["n"]
+        distinct[r["hash"] % OTHERS] -= 1
+    others = Others(n[KNOWN:].copy(), distinct, *held_counts(counts))
     n = np.maximum(n, 0) + 0.5
     rng = np.random.default_rng(seed)
     p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
@@ -208,7 +264,7 @@ def start(docs: DataFrame, seed: int) -> tuple[Vocabulary, Params]:
     p["cb"] = np.log(of_class.sum(axis=1) / n.sum()).astype(np.float32)
     p["ob"] = np.log(of_class / of_class.sum(axis=1, keepdims=True)).astype(np.float32)
     order = np.argsort(hashes.view(tk.U64))
-    return Vocabulary(hashes.view(tk.U64)[order], order.astype(np.int64)), p
+    return Vocabulary(hashes.view(tk.U64)[order], order.astype(np.int64)), p, others, counts
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, p: Params, turn: int, rounds: int) -> Params:
@@ -260,29 +316,48 @@ def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["weight", "params"])
 
 
-def scorer(vocabulary: Vocabulary, p: Params):
+def scorer(vocabulary: Vocabulary, p: Params, others: Others):
     def apply(texts: pa.Array) -> list[pa.Array]:
-        n, total = [], []
+        n, total, left, left_n = [], [], [], []
         for chunk in tk.chunks(texts):
             w = tk.words(chunk, tk.FOLDED)
             t = vocabulary.tokens(w.hash)
+            part = log_probs(p, t, context(t, w.row))
+            at = np.flatnonzero(t >= KNOWN)
+            within, rare = others.log_probs(w.hash[at])
+            part[at] += within
             n.append(w.counts(len(chunk)))
-            total.append(np.bincount(w.row, log_probs(p, t, context(t, w.row)), len(chunk)))
+            total.append(np.bincount(w.row, part, len(chunk)))
+            left.append(w.hash[at[rare]])
+            left_n.append(np.bincount(w.row[at[rare]], minlength=len(chunk)))
         n, total = np.concatenate(n), np.concatenate(total)
         mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-        return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean]
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(left_n))]).astype(np.int32)
+        rest = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(left).view(np.int64)))
+        return [pa.array(n, pa.int64()), pa.array(total, pa.float64()), mean, rest]
 
     return apply
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabulary, Params]:
-    vocabulary, p = start(docs, seed)
+def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabulary, Params, Others, DataFrame]:
+    vocabulary, p, others, counts = start(docs, seed)
     for turn in range(rounds):
         p = trained(docs, vocabulary, p, turn, rounds)
-    return vocabulary, p
+    return vocabulary, p, others, counts
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_tokens, log_prob (natural, summed over the words) and mean_log_prob for each row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, rounds))
-    return map_text(docs, ["doc_id"], lambda: scorer(*held.value), "n_tokens bigint, log_prob double, mean_log_prob double")
+    *model, counts = fit(docs, rounds)
+    others = model[2]
+    held = docs.sparkSession.sparkContext.broadcast(tuple(model))
+    scored = map_text(docs, ["doc_id"], lambda: scorer(*held.value), "n_tokens bigint, log_prob double, mean_log_prob double, rare array<bigint>")
+    if others.least == 1:
+        return scored.drop("rare")
+    scored = shared_table(scored.withColumn("row", F.monotonically_increasing_id()))
+    words = scored.select("row", F.explode("rare").alias("hash")).join(counts.where(F.col("n") < others.least), "hash", "left")
+    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in others.log_unseen]), (F.pmod("hash", F.lit(OTHERS)) + 1).cast("int"))
+    more = words.groupBy("row").agg(F.sum(F.coalesce(F.log(F.col("n").cast("double")), unseen)).alias("more"))
+    whole = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
+    out = scored.drop("rare").join(more, "row", "left").withColumn("log_prob", whole)
+    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
