@@ -176,3 +176,11 @@ def test_dashboards(spark):
     assert dashboard.validate(good) == []
     bad = {"groups": [{"id": "g", "widgets": [{"id": "g", "type": "line_chart", "series": [{"aggregate": "avg", "color": "red"}]}, {"id": "b", "type": "aggregate_band", "series": [{"query": "m", "role": "avg", "window": "x", "aggregate": "avg"}, {"query": "n", "role": "min"}]}, {"id": "q", "type": "pie"}]}]}
     assert len(dashboard.validate(bad)) >= 8
+
+
+def test_events_older_than_stored_are_rejected(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"))
+    bodies = lambda *at: spark.createDataFrame([("[" + ",".join(f'{{"db":"{d}","name":"{n}","ts":{T0 + k},"value":{k}}}' for d, n, k in at) + "]",)], "body string")
+    assert e.import_events(bodies(("ev", "a", 5), ("ev", "b", 3))) == 2
+    assert e.import_events(bodies(("ev", "a", 4), ("ev", "a", 5), ("ev", "b", 4), ("ev", "c", 1), ("other", "a", 1))) == 4
+    assert sorted((r["name"], r["int32_value"]) for r in e.query_events("ev").collect()) == [("a", 5), ("a", 5), ("b", 3), ("b", 4), ("c", 1)]

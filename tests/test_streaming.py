@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeutil
+from tidemark.plans.engine import Engine
 from tidemark.sources.store import Store
 from tidemark.streaming import live
 
@@ -57,3 +58,16 @@ def test_batches_are_stored_once(spark, tmp_path):
     process(spark.createDataFrame([("db/m 4 12",)], "line string"), 1)
     rows = live.ingested(store)
     assert sorted(r["ts_ns"] for r in rows.collect()) == [10, 11, 12] and rows.where(F.col("db") == "db").count() == 3
+
+
+def test_batches_reject_what_is_older_than_stored(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    lines = lambda *rows: spark.createDataFrame([(r,) for r in rows], "line string")
+    Engine(spark, store.root).import_lines(lines("db/k 1 50"))
+    sealed = lambda rows, number: store.write("db", rows.where(F.col("db") == "db"))
+    process = live.ingest(lines(), store, after=sealed)
+    process(lines("db/m 1 10", "db/m 2 20", "db/k 3 40", "db/k 4 50"), 0)
+    for _ in range(2):  # done again after it was sealed: stored as at first
+        process(lines("db/m 3 15", "db/m 4 20", "db/m 5 30", "db/n 6 1", "db2/m 7 1"), 1)
+    got = sorted((r["db"], r["metric"], r["ts_ns"]) for r in live.ingested(store).collect())
+    assert got == [("db", "k", 50), ("db", "m", 10), ("db", "m", 20), ("db", "m", 20), ("db", "m", 30), ("db", "n", 1), ("db2", "m", 1)]

@@ -49,6 +49,11 @@ def not_stale(df: DataFrame, keys: Sequence[str] = ("db", "metric"), seq: str =
     return rows.select(*df.columns)
 
 
+def not_before(df: DataFrame, last: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows not older than last of their series; series that have none pass."""
+    return df.join(last, list(keys), "left").where(F.col("last").isNull() | (F.col("ts_ns") >= F.col("last"))).drop("last")
+
+
 def pinned(df: DataFrame, keys: Sequence[str] = ("db", "metric"), seq: str = "seq") -> DataFrame:
     """With pinned_type, that of the first row by arrival (a grouping, no order within a series), and accepted."""
     first = df.groupBy(*keys).agg(F.min_by("value_type", seq).alias("pinned_type"))

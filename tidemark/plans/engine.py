@@ -11,7 +11,7 @@ from ..functions import aggregates, names, timeutil
 from ..operators import events as ev
 from ..operators import filters, lineage, ranges, retention, rollup, windows
 from ..sources import json_events, line_protocol
-from ..sources.store import Store
+from ..sources.store import NAME, Store
 
 
 class Engine:
@@ -37,24 +37,31 @@ class Engine:
             mine = rows.where(F.col("db") == d)
             last = self._last(d)
             if last is not None:
-                mine = mine.join(last, "metric", "left").where(F.col("last").isNull() | (F.col("ts_ns") >= F.col("last"))).drop("last")
+                mine = filters.not_before(mine, last, ["metric"])
             stored += mine.count()
             self.store.write(d, mine)
             if roll_up:
                 self.backfill([d])
         return stored
 
-    def _last(self, db: str) -> DataFrame | None:
-        return self.store.scan(db).groupBy("metric").agg(F.max("ts_ns").alias("last")) if db in self.store.databases(True) else None
+    def _last(self, db: str, kind: str = "samples") -> DataFrame | None:
+        """The newest stored time of each metric or event name."""
+        return self.store.scan(db, kind).groupBy(NAME[kind]).agg(F.max("ts_ns").alias("last")) if db in self.store.databases(True) else None
 
     def import_events(self, bodies: DataFrame, default_ts: int | None = None) -> int:
+        """Parse, check, drop events older than those before them or stored of their name; the number stored."""
         parsed = json_events.parse(json_events.objects(bodies), default_ts=default_ts, max_payload=self.max_payload).withColumn("seq", F.monotonically_increasing_id())
         rows = parsed.withColumn("value_type", F.when(F.col("error").isNull(), F.col("value_type")).otherwise(F.raise_error("error").cast("string")))
         rows = filters.not_stale(rows, ("db", "name")).withColumn("event_id", F.lit(None).cast("int"))
-        n = rows.count()
-        for d in [r["db"] for r in rows.select("db").distinct().collect()]:
-            self.store.write(d, rows.where(F.col("db") == d), "events")
-        return n
+        stored = 0
+        for d in [r["db"] for r in rows.select("db").distinct().collect()]:  # databases, few
+            mine = rows.where(F.col("db") == d)
+            last = self._last(d, "events")
+            if last is not None:
+                mine = filters.not_before(mine, last, ["name"])
+            stored += mine.count()
+            self.store.write(d, mine, "events")
+        return stored
 
     def export(self, db: str, suffix: bool = True) -> DataFrame:
         return line_protocol.export(self.store.scan(db), suffix)
