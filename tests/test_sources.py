@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -184,3 +186,10 @@ def test_events_older_than_stored_are_rejected(spark, tmp_path):
     assert e.import_events(bodies(("ev", "a", 5), ("ev", "b", 3))) == 2
     assert e.import_events(bodies(("ev", "a", 4), ("ev", "a", 5), ("ev", "b", 4), ("ev", "c", 1), ("other", "a", 1))) == 4
     assert sorted((r["name"], r["int32_value"]) for r in e.query_events("ev").collect()) == [("a", 5), ("a", 5), ("b", 3), ("b", 4), ("c", 1)]
+
+
+def test_reports_tell_what_they_leave_out(spark):
+    rows = spark.range(5)
+    assert results.report(rows, limit=3).splitlines()[-1] == "(5 rows, truncated to 3)" and results.report(rows).splitlines()[-1] == "(5 rows)"
+    lines = [json.loads(x) for x in results.report(rows, "json", 3).splitlines()]
+    assert len(lines) == 4 and lines[-1] == {"rows": 5, "shown": 3, "truncated": True}
