@@ -4,8 +4,9 @@ Equal texts are one group; a group above a part of a shard's bytes is cut into p
 other group is one piece. A piece has a size and three metadata coordinates: size, language and source (those of the
 group's smallest). The tree splits the pieces at a weighted median along the dimension that is widest in the node,
 until a leaf is one shard; a node of k shards gives floor(k / 2) / k of its bytes to the left. Medians are read from a
-histogram of up to 512 parts per node, made on the executors: the driver sees 24 * 512 sums and never a row, and a cut is off
-by at most one part of 512 of its node's bytes, or one piece.
+histogram of up to 512 parts per node, made on the executors: the driver sees 24 * 512 sums and never a row. The parts
+hold about 1/512 of the node's pieces each, not of its bytes: a cut is off by at most the bytes of the part that it falls in, which may be
+a large share of the node's where a few very long texts hold much of it. Nodes below refine a part, so the balance suffers and no row does.
 
 Slots number a shard's rows without gaps: rows are spread over parts by a hash, the parts are counted, and
 each part numbers its own rows after those of the parts before it; no task orders a whole shard.
