@@ -51,7 +51,7 @@ def test_floods_are_counted(spark, tmp_path):
 
 def test_batches_are_stored_once(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
-    batch = spark.createDataFrame([("db/m 1 10",), ("db/m 2 5",), ("bad",), ("db/m 3i 11",)], "line string")
+    batch = spark.createDataFrame([("db/m 1 10",), ("db/m 2 5",), ("bad",), ("db/m 3i 11",), ("db/m 3 11",)], "line string")
     process = live.ingest(batch, store)
     process(batch, 0)
     process(batch, 0)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..functions import timeutil
 from ..schema import MAX_EVENTS, MAX_METRICS, MAX_PAYLOAD
 
@@ -33,13 +34,14 @@ def _order(keys: Sequence[str], seq: str):
 def not_stale(df: DataFrame, keys: Sequence[str] = ("db", "metric"), seq: str = "seq", block: int = 1 << 20) -> DataFrame:
     """Rows not older than all that arrived before them in their series; equal times pass.
 
-    A rejected row is older than the newest, so the running maximum over all rows is that of the accepted ones. Where seq is a whole number, a
-    series is cut into blocks of it: maxima of blocks are carried forward over one row per block, and only a block is ordered by a task.
+    A rejected row is older than the newest, so the running maximum over all rows is that of the accepted ones. A series is cut into blocks of
+    seq: maxima of blocks are carried forward over one row per block, and only a block is ordered by a task. A seq that isn't a
+    whole number is numbered first, by a sort over ranges of it that is written out once.
     """
     keys = list(keys)
     if df.schema[seq].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        newest = F.max("ts_ns").over(_order(keys, seq).rowsBetween(W.unboundedPreceding, -1))
-        return df.withColumn("newest", newest).where(F.col("newest").isNull() | (F.col("ts_ns") >= F.col("newest"))).drop("newest")
+        numbered = shared.cut(df.repartitionByRange(seq).sortWithinPartitions(seq).withColumn("seq_number", F.monotonically_increasing_id()))
+        return not_stale(numbered, keys, "seq_number", block).select(*df.columns)
     rows = df.withColumn("seq_block", timeutil.floor_to(F.col(seq).cast("long"), block))
     before = W.partitionBy(*keys).orderBy("seq_block").rowsBetween(W.unboundedPreceding, -1)
     carried = rows.groupBy(*keys, "seq_block").agg(F.max("ts_ns").alias("m")).select(*keys, "seq_block", F.max("m").over(before).alias("carried"))

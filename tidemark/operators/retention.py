@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import timeutil
@@ -32,7 +32,7 @@ def sweep(store, db: str, now_ns: int, days: int, action: str = "delete") -> dic
     if action not in ACTIONS:
         raise ValueError(f"unknown retention action {action!r}")
     limit = cutoff_day(now_ns, days)
-    keys = sorted({k for kind in ("samples", "events") for k in store.partitions(db, kind)})
+    keys = sorted({p.key for p in store.state(db).parts if not p.archive})  # of either kind, staged and streamed rows too
     gone = [k for k in keys if k != "forever" and (k + "-01-01")[:10] < limit]
     for k in gone:
         if action == "delete":
@@ -75,6 +75,23 @@ def file_stats(df: DataFrame) -> DataFrame:
     return g.agg(F.count("*").alias("records"), F.min("ts_ns").alias("min_ts_ns"), F.max("ts_ns").alias("max_ts_ns")).withColumn("bytes_per_record", F.col("bytes") / F.col("records"))
 
 
+def inspected(spark: SparkSession, paths: Sequence[str], base: str) -> DataFrame:
+    """file, bytes, records, min_ts_ns, max_ts_ns, bytes_per_record, damaged: a row per file of the folders, and one of totals whose file is null.
+
+    A file that can't be read, or not to its end, has fewer rows than it should, or none, and is told by its footer: damaged files are passed over.
+    """
+    if not paths:
+        return spark.createDataFrame([], "file string, bytes bigint, records bigint, min_ts_ns bigint, max_ts_ns bigint, bytes_per_record double, damaged boolean")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(list(paths)).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    rows = spark.read.schema("ts_ns bigint").option("basePath", base).option("ignoreCorruptFiles", "true").parquet(*paths)
+    read = rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("records"), F.min("ts_ns").alias("min_ts_ns"), F.max("ts_ns").alias("max_ts_ns"))
+    per = lambda g: (F.col("bytes") / F.when(F.col("records") > 0, F.col("records"))).alias("bytes_per_record")
+    each = files.join(read, "file", "left").select("file", "bytes", F.coalesce("records", F.lit(0)).cast("bigint").alias("records"), "min_ts_ns", "max_ts_ns", F.col("records").isNull().alias("damaged"))
+    totals = each.agg(F.lit(None).cast("string").alias("file"), F.sum("bytes").alias("bytes"), F.sum("records").alias("records"), F.min("min_ts_ns").alias("min_ts_ns"), F.max("max_ts_ns").alias("max_ts_ns"), F.max("damaged").alias("damaged"))
+    both = each.unionByName(totals)
+    return both.select("file", "bytes", "records", "min_ts_ns", "max_ts_ns", per(both), "damaged")
+
+
 def metric_catalog(samples: DataFrame) -> DataFrame:
     return samples.groupBy("db", "metric").agg(F.count("*").alias("records"), F.max("ts_ns").alias("last_ts_ns"))
 

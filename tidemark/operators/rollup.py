@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, names, timeutil
@@ -14,6 +15,7 @@ from .windows import bucket
 
 HOUR_NS = 3_600 * timeutil.NS
 DEFAULT_GRACE_NS = HOUR_NS
+DUE = "job_id string, metric string, prefix string, aggregates array<string>, start_ns bigint, until_ns bigint"
 
 
 @dataclass(frozen=True)
@@ -115,14 +117,18 @@ def periods(samples: DataFrame, plan: Plan) -> DataFrame:
     any_job = reduce(lambda a, b: a | b, [j.selects(F.col("metric")) for j in plan.jobs])
     rows = samples.where(any_job)
     g = rows.groupBy("metric", bucket(F.col("ts_ns"), plan.interval_ns).alias("start_ts_ns")).agg(F.max("ts_ns").alias("newest"), *aggregates.columns(wanted, F.col("value")))
-    last = g.groupBy("metric").agg(F.max("newest").alias("last_ts_ns"))
-    g = g.drop("newest").join(last, "metric").withColumn("end_ts_ns", F.col("start_ts_ns") + F.lit(plan.interval_ns).cast("long"))
-    entries = []
+    # the newest of a metric over its periods, which are a row each: no second look at the samples
+    g = g.withColumn("last_ts_ns", F.max("newest").over(W.partitionBy("metric"))).withColumn("end_ts_ns", F.col("start_ts_ns") + F.lit(plan.interval_ns).cast("long"))
+    return g.select("*", F.explode(entries(plan)).alias("e")).select("e.job_id", "metric", "e.prefix", "e.grace_ns", "e.aggregates", "start_ts_ns", "end_ts_ns", "last_ts_ns", *wanted)
+
+
+def entries(plan: Plan) -> Column:
+    """The jobs of a plan that take a metric, as an array of job_id, prefix, grace_ns, aggregates."""
+    found = []
     for j in plan.jobs:
         job_id = F.lit(j.id) if j.source_metric else F.concat(F.lit(f"{j.id}::"), F.col("metric"))
-        entries.append(F.when(j.selects(F.col("metric")), F.struct(job_id.alias("job_id"), j.prefix_column().alias("prefix"), F.lit(grace_of(j)).cast("long").alias("grace_ns"), F.array(*[F.lit(a) for a in j.aggregates]).alias("aggregates"))))
-    entry = F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")
-    return g.select("*", entry).select("e.job_id", "metric", "e.prefix", "e.grace_ns", "e.aggregates", "start_ts_ns", "end_ts_ns", "last_ts_ns", *wanted)
+        found.append(F.when(j.selects(F.col("metric")), F.struct(job_id.alias("job_id"), j.prefix_column().alias("prefix"), F.lit(grace_of(j)).cast("long").alias("grace_ns"), F.array(*[F.lit(a) for a in j.aggregates]).alias("aggregates"))))
+    return F.filter(F.array(*found), lambda e: e.isNotNull())
 
 
 def closed(rows: DataFrame, now_ns: int) -> DataFrame:
@@ -153,6 +159,36 @@ def run(samples: DataFrame, plan: Plan, now_ns: int, checkpoints: DataFrame | No
     return as_samples(rows, plan.destination_db), done
 
 
+def due(catalog: DataFrame, plan: Plan, now_ns: int, checkpoints: DataFrame | None, open_keys: Sequence[str] = (), mode: str = "day") -> DataFrame:
+    """job_id, metric, prefix, aggregates, start_ns, until_ns for each job and metric that has a period to write, from the catalog's first and last times.
+
+    Periods start at the job's checkpoint, or with the metric's first sample, and end by its newest and by now less the grace; a metric whose newest sample is
+    in an open partition waits. A metric that has stopped isn't due, so that it doesn't hold back the start of what is read.
+    """
+    metrics = catalog.select(F.col("name").alias("metric"), "first_ts_ns", "last_ts_ns")
+    if open_keys:
+        metrics = metrics.where(~timeutil.partition_key(F.col("last_ts_ns"), mode).isin(list(open_keys)))
+    rows = metrics.select("*", F.explode(entries(plan)).alias("e")).select("e.*", "metric", "first_ts_ns", "last_ts_ns")
+    rows = rows.withColumn("until_ns", bucket(F.least("last_ts_ns", F.lit(now_ns).cast("long") - F.col("grace_ns")), plan.interval_ns))
+    if checkpoints is None:
+        rows = rows.withColumn("done_ts_ns", F.lit(None).cast("long"))
+    else:
+        rows = rows.join(checkpoints.groupBy("job_id").agg(F.max_by("completed_ts_ns", "seq").alias("done_ts_ns")), "job_id", "left")
+    rows = rows.withColumn("start_ns", F.coalesce("done_ts_ns", bucket(F.col("first_ts_ns"), plan.interval_ns)))
+    return rows.where("until_ns > start_ns").select("job_id", "metric", "prefix", "aggregates", "start_ns", "until_ns")
+
+
+def run_due(samples: DataFrame, plan: Plan, wanted: DataFrame) -> DataFrame:
+    """The samples that a plan writes for what is due: one grouping of the rows between each metric's start and end."""
+    listed = list(dict.fromkeys(a for j in plan.jobs for a in j.aggregates))
+    spans = wanted.groupBy("metric").agg(F.min("start_ns").alias("from_ns"), F.max("until_ns").alias("to_ns"))
+    rows = samples.join(spans, "metric").where((F.col("ts_ns") >= F.col("from_ns")) & (F.col("ts_ns") < F.col("to_ns")))
+    g = rows.groupBy("metric", bucket(F.col("ts_ns"), plan.interval_ns).alias("start_ts_ns")).agg(*aggregates.columns(listed, F.col("value")))
+    end = F.col("start_ts_ns") + F.lit(plan.interval_ns).cast("long")
+    out = g.join(wanted, "metric").where((end > F.col("start_ns")) & (end <= F.col("until_ns")))
+    return as_samples(out.select("job_id", "prefix", "aggregates", "start_ts_ns", *listed), plan.destination_db)
+
+
 def order(jobs: Sequence[Job]) -> list[str]:
     """Databases in the order in which their rollups run: each before those it feeds. A cycle is an error."""
     feeds: dict[str, set[str]] = {}
@@ -182,6 +218,14 @@ def closure(jobs: Sequence[Job], sources: Sequence[str] = ()) -> list[Job]:
     return [j for j in jobs if j.source_db in wanted]
 
 
+def remade(jobs: Sequence[Job], sources: Sequence[str] = ()) -> list[Job]:
+    """The closure of the sources and, as destinations are made anew whole, of every other source that feeds one of them."""
+    chosen = closure(jobs, sources)
+    while more := {j.source_db for j in jobs if j.destination_db in {c.destination_db for c in chosen}} - {c.source_db for c in chosen}:
+        chosen = closure(jobs, sorted(more | {c.source_db for c in chosen}))
+    return chosen
+
+
 def backfill(samples: dict[str, DataFrame], jobs: Sequence[Job], now_ns: int, sources: Sequence[str] = ()) -> dict[str, DataFrame]:
     """Every destination made anew from its sources, cascades in one pass: a destination is the next rollup's source."""
     chosen = closure(jobs, sources)

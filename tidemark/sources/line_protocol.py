@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names, timeutil, values
@@ -43,21 +44,34 @@ def parse(lines: DataFrame, line: str = "line", default_ts: int | None = None, d
     return out.withColumn("error", error).drop("lp_text", "lp_fields", "lp_target", "lp_literal", "lp_when")
 
 
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 1), seq (over all files, by path), line of text files.
+
+    Files are read in splits, so a large file is many tasks: a line's place in its split is its id less the split's first, and the lines of the
+    splits before it, a row each, are counted.
+    """
+    block = F.col("_metadata.file_block_start")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), block.alias("lp_block"), F.monotonically_increasing_id().alias("lp_id"), F.col("value").alias("line"))
+    splits = raw.groupBy("file", "lp_block").agg(F.min("lp_id").alias("lp_first"), F.count("*").alias("lp_n"))
+    before = lambda w: F.sum("lp_n").over(w) - F.col("lp_n") - F.col("lp_first")
+    splits = splits.select("file", "lp_block", before(W.partitionBy("file").orderBy("lp_block")).alias("lp_in_file"), before(W.orderBy("file", "lp_block")).alias("lp_in_all"))
+    return raw.join(splits, ["file", "lp_block"]).select("file", (F.col("lp_id") + F.col("lp_in_file") + 1).alias("line_no"), (F.col("lp_id") + F.col("lp_in_all")).alias("seq"), "line")
+
+
 def read(spark: SparkSession, path: str, db: str | None = None, default_ts: int | None = None) -> DataFrame:
-    """Parsed lines of text files with file and line_no. Lines count within a file, so a file is one task's: many files scale, not one."""
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return parse(text.withColumn("line_no", F.col("line_no") + 1), db=db, default_ts=default_ts)
+    """Parsed lines of text files with file, line_no and seq."""
+    return parse(numbered(spark, path), db=db, default_ts=default_ts)
 
 
 def from_bodies(bodies: DataFrame, body: str = "body", **how) -> DataFrame:
-    """Parsed lines of request bodies: plain text, or JSON with the text (or a list of lines) under lines; with file (the body's number) and line_no."""
+    """Parsed lines of request bodies: plain text, or JSON with the text (or a list of lines) under lines; with file (the body's number), line_no and seq."""
     b = F.trim(F.col(body))
     inner = F.get_json_object(b, "$.lines")
     listed = F.from_json(inner, "array<string>")
     text = F.when(b.startswith("{"), F.when(inner.startswith("["), F.array_join(listed, "\n")).otherwise(inner)).otherwise(F.col(body))
-    numbered = bodies.select(F.monotonically_increasing_id().alias("file"), text.alias("lp_body"))  # before lines are made of it
-    rows = numbered.select("file", F.posexplode(F.split("lp_body", "\n")).alias("line_no", "line"))
-    return parse(rows.withColumn("line_no", F.col("line_no") + 1), **how)
+    given = bodies.select(F.monotonically_increasing_id().alias("file"), text.alias("lp_body"))  # before lines are made of it
+    rows = given.select("file", F.posexplode(F.split("lp_body", "\n")).alias("line_no", "line"))
+    return parse(rows.withColumn("line_no", F.col("line_no") + 1).withColumn("seq", F.monotonically_increasing_id()), **how)
 
 
 def until_first_error(parsed: DataFrame) -> DataFrame:

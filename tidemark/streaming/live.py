@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import aggregates, timeutil
-from ..operators.filters import not_before, not_stale
+from ..plans.ingest import accept
 from ..sources import line_protocol
 
 
@@ -55,50 +56,28 @@ def batched_counts(stream: DataFrame, key: str = "key", delay: str = "5 seconds"
     return g.select("name", key, timeutil.from_timestamp(F.col("window.start")).alias("bucket_ts_ns"), "count", "payload")
 
 
-def newest_stored(store, rows: DataFrame, number: int) -> DataFrame:
-    """db, metric, last: the newest time that earlier batches or imports have stored of each series of rows.
+def ingest(lines: DataFrame, store, default_ts: int | None = None, after: Callable[[DataFrame, int], None] | None = None, stream: str = "lines", max_active: int | None = None) -> Callable[[DataFrame, int], None]:
+    """What foreachBatch calls: parse the lines of a batch and store the good ones; bad ones, stale ones and those of a second type are dropped.
 
-    It is kept by the batch's number and read again if the batch is done again, when the store may have rows of the batch itself.
-    """
-    path = f"{store.root}/.newest/batch={number}"
-    if not store._exists(f"{path}/_SUCCESS"):
-        columns = "db string, metric string, ts_ns bigint"
-        names = [c.split(" ")[0] for c in columns.split(", ")]
-        earlier = [b for b in store._children(f"{store.root}/.batches") if b.startswith("batch=") and int(b.removeprefix("batch=")) < number]
-        stored = store.spark.createDataFrame([], columns)
-        if earlier:
-            stored = store.spark.read.schema(columns).option("basePath", f"{store.root}/.batches").parquet(*[f"{store.root}/.batches/{b}" for b in earlier]).select(*names)
-        known = store.databases(True)
-        for d in [r["db"] for r in rows.select("db").distinct().collect()]:  # databases, few
-            if d in known:
-                stored = stored.unionByName(store.scan(d).select(*names))
-        newest = stored.groupBy("db", "metric").agg(F.max("ts_ns").alias("last"))
-        newest.join(rows.select("db", "metric").distinct(), ["db", "metric"], "left_semi").write.mode("overwrite").parquet(path)
-    return store.spark.read.schema("db string, metric string, last bigint").parquet(path)
-
-
-def ingest(lines: DataFrame, store, default_ts: int | None = None, after: Callable[[DataFrame, int], None] | None = None) -> Callable[[DataFrame, int], None]:
-    """What foreachBatch calls: parse the lines of a batch, drop bad and stale ones, and write each database's rows.
-
-    Stale are rows older than one before them in the batch, in an earlier batch or in the store.
-
-    A batch is written to a folder of its own number, replacing what an earlier try of it left, so that a batch that is
-    done again after a failure is stored once. after(rows, batch) may roll up and apply retention.
+    A database keeps the number of the newest batch of each stream (a name for each checkpoint folder) with the rows that it brought, so a batch that is
+    done again after a failure is stored once. after(rows, batch) is given the rows that the batch has stored, and may roll up and apply retention.
     """
 
     def process(batch: DataFrame, number: int) -> None:
-        parsed = line_protocol.parse(batch, default_ts=default_ts).where("error IS NULL")
-        parsed = parsed.withColumn("seq", F.monotonically_increasing_id() + F.lit(number << 40))
-        rows = not_before(not_stale(parsed), newest_stored(store, parsed, number), ["db", "metric"])
-        rows = rows.withColumn("partition_key", timeutil.partition_key(F.col("ts_ns"), store.mode))
-        written = rows.select("db", "metric", "ts_ns", "value_type", "int32_value", "float32_value", "value", "seq", "partition_key")
-        written.write.mode("overwrite").partitionBy("db", "partition_key").parquet(f"{store.root}/.batches/batch={number}")
+        parsed = line_protocol.parse(batch.withColumn("seq", F.monotonically_increasing_id()), default_ts=default_ts)
+        accept(store, parsed, strict=False, max_active=max_active, stream=stream, batch=number)
         if after is not None:
-            after(written, number)
+            after(stored_by(store, stream, number), number)
 
     return process
 
 
+def stored_by(store, stream: str, number: int) -> DataFrame:
+    """The rows of a batch, of every database."""
+    mine = [store.read(d, [p for p in store.state(d).live("samples") if p.batch == f"{stream}:{number}"], "samples") for d in store.databases(True)]
+    return reduce(DataFrame.unionByName, mine, store.read("none", [], "samples"))
+
+
 def ingested(store) -> DataFrame:
     """All rows that batches have written."""
-    return store.spark.read.option("basePath", f"{store.root}/.batches").parquet(f"{store.root}/.batches/batch=*")
+    return reduce(DataFrame.unionByName, [store.streamed(d) for d in store.databases(True)], store.read("none", [], "samples"))
