@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tidemark import catalogue
+from tidemark import catalogue, catalogue_store  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the given tables are not here")

@@ -102,6 +102,16 @@ def window_trimmed_large(spark, sf_dir):
     return rounded(windows.window_aggregate(L(spark, sf_dir), 30 * DAY, ["trimmed_avg", "sum", "count"]))
 
 
+@registered(long_sql("L", 90 * DAY, ["median", "p95", "p99", "trimmed_avg", "avg", "min", "max", "count"]))
+def window_quantiles_large(spark, sf_dir):
+    return rounded(windows.window_aggregate(L(spark, sf_dir), 90 * DAY, ["median", "p95", "p99", "trimmed_avg", "avg", "min", "max", "count"]))
+
+
+@registered(long_sql("S", 7 * DAY, ["p50", "p95", "trimmed_avg"]))
+def window_quantiles_week(spark, sf_dir):
+    return rounded(windows.window_aggregate(S(spark, sf_dir), 7 * DAY, ["p50", "p95", "trimmed_avg"]))
+
+
 @registered(long_sql("S", DAY, ["trimmed_average", "avg"]))
 def window_alias(spark, sf_dir):
     return rounded(windows.window_aggregate(S(spark, sf_dir), DAY, " trimmed_average, ,avg,trimmed_average"))
@@ -181,6 +191,10 @@ def glob_exclude(spark, sf_dir):
     return S(spark, sf_dir).where(names.glob_select(F.col("metric"), "*", ["e*", "*[a-c]lick"])).groupBy("metric").agg(F.count("*").alias("n"))
 
 
+def as_int(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"int32_value": F.col("value").cast("int"), "float32_value": F.lit(None).cast("float"), "partition_key": F.lit("forever")})
+
+
 def _partitions(mode: str, fmt: str):
     key = f"strftime(make_timestamp(ts_ns // 1000), '{fmt}')" if fmt else "'forever'"
 
@@ -280,13 +294,13 @@ def payload_cap(spark, sf_dir):
 
 @registered(f"SELECT 'L/' || metric || ' ' || CAST(CAST(value AS INT) AS VARCHAR) || 'i ' || {TEXT_TIME.format('ts_ns')} AS line FROM L")
 def lp_export(spark, sf_dir):
-    rows = L(spark, sf_dir).withColumns({"int32_value": F.col("value").cast("int"), "float32_value": F.lit(None).cast("float"), "partition_key": F.lit("forever")})
-    return line_protocol.export(rows)
+    return line_protocol.export(as_int(L(spark, sf_dir)))
 
 
 @registered("SELECT metric, ts_ns, CAST(value AS INT) AS int32_value, 'int32' AS value_type, CAST(NULL AS VARCHAR) AS error FROM L")
 def lp_parse_roundtrip(spark, sf_dir):
-    return line_protocol.parse(lp_export(spark, sf_dir)).select("metric", "ts_ns", "int32_value", "value_type", "error")
+    lines = as_int(L(spark, sf_dir)).select(line_protocol.to_line().alias("line"))
+    return line_protocol.parse(lines).select("metric", "ts_ns", "int32_value", "value_type", "error")
 
 
 @registered("SELECT seq, CASE WHEN seq % 5 = 0 THEN 'float32' WHEN seq % 5 = 1 THEN 'int32' WHEN seq % 5 = 2 THEN NULL WHEN seq % 5 = 3 THEN 'float32' ELSE NULL END AS value_type, CASE seq % 5 WHEN 2 THEN 'invalid value' WHEN 4 THEN 'missing value' END AS error FROM S")
@@ -305,14 +319,8 @@ def _event_json(events):
     return rows.select("name", "ts_ns", "value_type", v.alias("value"), F.get_json_object(F.col("payload").cast("string"), "$.k").cast("long").alias("k"))
 
 
-@registered("SELECT name, ts_ns, value_type, v AS value, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'int32' ELSE 'float32' END AS value_type, CASE WHEN seq % 3 = 1 THEN CAST(seq AS DOUBLE) WHEN seq % 3 = 2 THEN seq + 0.5 END AS v FROM E WHERE seq < 1000)")
-def event_json(spark, sf_dir):
-    return _event_json(E(spark, sf_dir).where("seq < 1000"))
-
-
 @registered("SELECT name, ts_ns, value_type, v AS value, CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 'none' WHEN seq % 3 = 1 THEN 'int32' ELSE 'float32' END AS value_type, CASE WHEN seq % 3 = 1 THEN CAST(seq AS DOUBLE) WHEN seq % 3 = 2 THEN seq + 0.5 END AS v FROM E)")
-def event_json_all(spark, sf_dir):
-    """event_json over the whole events table; event_json's own SQL names the first 1,000 ids."""
+def event_json(spark, sf_dir):
     return _event_json(E(spark, sf_dir))
 
 
@@ -360,9 +368,9 @@ def sample_report(spark, sf_dir):
 # Rollups
 
 
-def rollup_sql(view: str, width: int, wanted: list[str], prefix: str, where: str = "true", closed: str = "") -> str:
-    """Samples of a rollup as SQL, after CTEs that end in r (metric, b, last and a column per aggregate)."""
-    listed = ", ".join(f"{AGG_SQL[a]} AS a_{a}" for a in wanted)
+def rollup_sql(view: str, width: int, wanted: list[str], prefix: str, where: str = "true", closed: str = "", stored: bool = False) -> str:
+    """Samples of a rollup as SQL, after CTEs that end in r (metric, b, last and a column per aggregate). stored: as float32, as a store has them."""
+    listed = ", ".join(f"CAST(CAST({AGG_SQL[a]} AS FLOAT) AS DOUBLE) AS a_{a}" if stored else f"{AGG_SQL[a]} AS a_{a}" for a in wanted)
     rows = " UNION ALL ".join(f"SELECT {prefix} || '.{aggregates.CANONICAL.get(a, a)}' AS metric, CAST(b AS BIGINT) AS ts_ns, round(a_{a}, 4) AS value FROM r" for a in wanted)
     return f", last AS (SELECT metric, max(ts_ns) AS last FROM {view} WHERE {where} GROUP BY 1), r AS (SELECT * FROM (SELECT metric, ts_ns - ts_ns % {width} AS b, {listed} FROM {view} WHERE {where} GROUP BY 1, 2) JOIN last USING (metric) WHERE b + {width} <= last {closed}) {rows}"
 

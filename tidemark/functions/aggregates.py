@@ -14,19 +14,24 @@ DEFAULT_STEP = "avg"
 ROLLUP_DEFAULT = ("min", "max", "sum", "avg", "count")
 
 
+#: Percentiles are exact, with linear interpolation at (n - 1) p.
+PERCENTILES = {"median": 0.5, "p50": 0.5, "p95": 0.95, "p99": 0.99}
+SHARES = sorted(set(PERCENTILES.values()))
+
+
 def percentile(p: float) -> Callable[[Column], Column]:
-    """Exact, with linear interpolation at (n - 1) p."""
-    return lambda v: F.percentile(v.cast("double"), p)
+    """One entry of the percentiles of all shares: equal calls are one buffer of a window's values, whichever entries are asked for."""
+    return lambda v: F.percentile(v.cast("double"), F.array(*[F.lit(x) for x in SHARES])).getItem(SHARES.index(p))
 
 
 def trimmed(v: Column) -> Column:
-    """Mean without a twentieth of the values at either end, one at least; without any cut if that would leave none."""
+    """Mean without a twentieth of the values at either end, one at least; without any cut if that would leave none; null of no values."""
     s = F.sort_array(F.collect_list(v.cast("double")))
     n = F.size(s)
     cut = F.when(n >= 20, F.floor(n / 20)).otherwise(1).cast("int")
     cut = F.when(2 * cut >= n, 0).otherwise(cut)
     rest = F.slice(s, cut + 1, n - 2 * cut)
-    return F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) / F.size(rest)
+    return F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) / F.when(F.size(rest) > 0, F.size(rest))
 
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {
@@ -35,15 +40,16 @@ AGGREGATES: dict[str, Callable[[Column], Column]] = {
     "sum": lambda v: F.sum(v.cast("double")),
     "avg": lambda v: F.avg(v.cast("double")),
     "count": lambda v: F.count(v).cast("double"),
-    "median": percentile(0.5),
-    "p50": percentile(0.5),
-    "p95": percentile(0.95),
-    "p99": percentile(0.99),
+    "median": percentile(PERCENTILES["median"]),
+    "p50": percentile(PERCENTILES["p50"]),
+    "p95": percentile(PERCENTILES["p95"]),
+    "p99": percentile(PERCENTILES["p99"]),
     "trimmed_avg": trimmed,
     "trimmed_average": trimmed,
 }
 #: Names under which a rollup writes an alias.
 CANONICAL = {"trimmed_average": "trimmed_avg"}
+TRIMMED = ("trimmed_avg", "trimmed_average")
 
 
 def supported() -> list[str]:

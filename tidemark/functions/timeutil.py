@@ -176,8 +176,21 @@ def from_timestamp(ts: Column) -> Column:
 def parse_timestamp_column(text: Column) -> Column:
     """Nanoseconds of line-protocol time text; null where it is neither a whole number nor a date with or without time."""
     t = F.trim(text)
-    base = F.regexp_extract(t, r"^(\d{4}-\d{2}-\d{2}(?: \d{2}(?::\d{2}(?::\d{2})?)?)?)(?:\.(\d*))?$", 1)
-    frac = F.rpad(F.substring(F.regexp_extract(t, r"^\d{4}-\d{2}-\d{2}(?: \d{2}(?::\d{2}(?::\d{2})?)?)?\.(\d*)$", 1), 1, 9), 9, "0")
+    base = F.substring_index(t, ".", 1)
     full = F.concat(base, F.substring(F.lit("YYYY-MM-DD 00:00:00"), F.length(base) + 1, F.lit(19)))
     seconds = F.unix_seconds(F.try_to_timestamp(full, F.lit("yyyy-MM-dd HH:mm:ss")))
-    return F.when(t.rlike(r"^\d+$"), t.try_cast("long")).when(base != "", seconds * F.lit(NS).cast("long") + frac.cast("long"))
+    fraction = F.rpad(F.substring(t, F.length(base) + 2, F.lit(9)), 9, "0").cast("long")
+    dated = t.rlike(r"^\d{4}-\d{2}-\d{2}( \d{2}(:\d{2}(:\d{2})?)?)?(\.\d*)?$")
+    return F.when(dated, seconds * F.lit(NS).cast("long") + fraction).when(t.rlike(r"^\d+$"), t.try_cast("long"))
+
+
+def duration_column(text: Column) -> Column:
+    """Nanoseconds of a column of durations (units s, m, h, d, w, ms, us, ns, each with a whole or decimal number, a sign in front); null where malformed."""
+    t = F.trim(text)
+    body = F.regexp_replace(t, r"^[+-]", "")
+    parts = F.regexp_extract_all(body, F.lit(r"(\d+\.?\d*|\.\d+)(ns|us|µs|μs|ms|s|m|h|d|w)"), F.lit(0))
+    scale = F.create_map(*[F.lit(x) for k, v in DURATION_UNITS.items() for x in (k, v)])
+    one = lambda p: (F.regexp_extract(p, r"^[\d.]+", 0).cast("decimal(25,9)") * F.element_at(scale, F.regexp_extract(p, r"[^\d.]+$", 0))).cast("long")
+    total = F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + one(p))
+    sound = (F.size(parts) > 0) & (F.array_join(parts, "") == body)
+    return F.when(sound, F.when(t.startswith("-"), -total).otherwise(total)).when(body == "0", F.lit(0).cast("long"))

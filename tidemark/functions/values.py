@@ -9,6 +9,7 @@ INT, FLOAT, NONE = "int32", "float32", "none"
 INT_MIN, INT_MAX = -(1 << 31), (1 << 31) - 1
 FLOAT_MAX = 3.4028234663852886e38
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+LITERAL = r"^(?i:[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)|nan)$"
 
 
 def looks_like_float(c: Column) -> Column:
@@ -25,11 +26,19 @@ def lp_int(c: Column) -> Column:
     return F.when(body != "", body.try_cast("int"))
 
 
+def lp_double(c: Column) -> Column:
+    """What a float literal says as a double, before it is fitted; null if it is none. NaN and Inf are spelled out."""
+    return F.when(c.rlike(LITERAL), c.try_cast("double"))
+
+
+def fitted(c: Column, d: Column) -> Column:
+    """The float32 of a literal and its double; null beyond the type."""
+    return F.when((F.abs(d) <= FLOAT_MAX) | c.rlike("(?i)[nN]"), d.cast("float"))
+
+
 def lp_float(c: Column) -> Column:
-    """A float32 literal; null if it's none or beyond the type. NaN and Inf are spelled out."""
-    special = F.lower(c).rlike(r"^([+-]?inf(inity)?|nan)$")
-    d = F.when(c.rlike(NUMBER), c.try_cast("double"))
-    return F.when(special, F.regexp_replace(F.lower(c), r"^\+", "").try_cast("float")).when(F.abs(d) <= FLOAT_MAX, d.cast("float"))
+    """A float32 literal; null if it's none or beyond the type."""
+    return fitted(c, lp_double(c))
 
 
 def lp_type(c: Column) -> Column:

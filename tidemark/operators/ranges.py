@@ -45,11 +45,17 @@ def latest_matching(samples: DataFrame, regex: str) -> DataFrame:
 
 
 def last_per_step(samples: DataFrame, step_ns: int) -> DataFrame:
-    """db, metric, step_ts_ns (aligned to the epoch), value: the last sample of each step."""
-    step = timeutil.floor_to(F.col("ts_ns"), step_ns)
+    """db, metric, step_ts_ns, value: the last sample of each step. Steps are cut as windows are, towards 1970."""
+    step = timeutil.whole_div(F.col("ts_ns"), step_ns) * F.lit(step_ns).cast("long")
     return samples.groupBy("db", "metric", step.alias("step_ts_ns")).agg(F.max_by("value", F.struct("ts_ns", "seq")).alias("value"))
 
 
+def preview(samples: DataFrame, n: int = 20) -> DataFrame:
+    """The first and the last n rows by time and arrival, with which (head or tail); each a top-n, a row may be in both."""
+    first = samples.orderBy("ts_ns", "seq").limit(n).withColumn("which", F.lit("head"))
+    return first.unionByName(samples.orderBy(F.desc("ts_ns"), F.desc("seq")).limit(n).withColumn("which", F.lit("tail")))
+
+
 def aligned(series: DataFrame, names: Sequence[str], column: str = "metric") -> DataFrame:
     """ts_ns and a column for each name: the union of all times, null where a series has none, the last of equal times."""
     return series.groupBy("ts_ns").pivot(column, list(names)).agg(F.max_by("value", "seq"))

@@ -1,4 +1,4 @@
-"""Rates of counters, threshold events and state changes: lag within a series, by time."""
+"""Rates of counters, threshold events and state changes, against the row before in the series, by time."""
 
 from __future__ import annotations
 
@@ -8,12 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import timeutil
+
 SECTOR = 512
 
 
-def _before(keys: Sequence[str], order: Sequence[str] = ("ts_ns",)):
-    w = W.partitionBy(*keys).orderBy(*order)
-    return lambda c: F.lag(c).over(w)
+def with_previous(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], block_ns: int = timeutil.DAY_NS, name: str = "before") -> DataFrame:
+    """rows with a struct of the columns of the row before in its series, null for the first.
+
+    A series is cut into blocks of time, which order must begin with: a task orders one block, and the last row of each block is carried to the
+    next one over a row per block.
+    """
+    keys, block = list(keys), f"{name}_block"
+    cut = rows.withColumn(block, timeutil.floor_to(F.col(order[0]), block_ns))
+    last = cut.groupBy(*keys, block).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("last"))
+    carried = last.select(*keys, block, F.lag("last").over(W.partitionBy(*keys).orderBy(block)).alias(f"{name}_carried"))
+    own = F.lag(F.struct(*columns)).over(W.partitionBy(*keys, block).orderBy(*order))
+    return cut.join(carried, [*keys, block]).withColumn(name, F.coalesce(own, F.col(f"{name}_carried"))).drop(block, f"{name}_carried")
+
+
+def _of_before(name: str) -> Column:
+    return F.col(f"before.{name}")
 
 
 def clamp(c: Column, low: float = 0.0, high: float = 100.0) -> Column:
@@ -25,9 +40,9 @@ def disk(counters: DataFrame, keys: Sequence[str] = ("device",), order: Sequence
 
     Counters: reads, writes, read_sectors, write_sectors, io_ms.
     """
-    lag = _before(keys, order)
     names = ("reads", "writes", "read_sectors", "write_sectors", "io_ms")
-    d = counters.select(*keys, *order, *[(F.col(n) - lag(n)).alias(f"d_{n}") for n in names], ((F.col("ts_ns") - lag("ts_ns")) / 1e9).alias("s"))
+    rows, lag = with_previous(counters, keys, order, [*names, "ts_ns"]), _of_before
+    d = rows.select(*keys, *order, *[(F.col(n) - lag(n)).alias(f"d_{n}") for n in names], ((F.col("ts_ns") - lag("ts_ns")) / 1e9).alias("s"))
     d = d.where(F.col("s") > 0)
     for n in names:
         d = d.where(F.col(f"d_{n}") >= 0)
@@ -39,16 +54,16 @@ def disk(counters: DataFrame, keys: Sequence[str] = ("device",), order: Sequence
 
 def cpu(counters: DataFrame, keys: Sequence[str] = ("host",), order: Sequence[str] = ("ts_ns",)) -> DataFrame:
     """busy_pct of total, idle, iowait; no row first, or where the total did not grow."""
-    lag = _before(keys, order)
-    d = counters.select(*keys, *order, *[(F.col(n) - lag(n)).alias(n) for n in ("total", "idle", "iowait")]).where(F.col("total") > 0)
+    rows, lag = with_previous(counters, keys, order, ["total", "idle", "iowait"]), _of_before
+    d = rows.select(*keys, *order, *[(F.col(n) - lag(n)).alias(n) for n in ("total", "idle", "iowait")]).where(F.col("total") > 0)
     return d.select(*keys, *order, clamp(100.0 * (F.col("total") - F.col("idle") - F.col("iowait")) / F.col("total")).alias("busy_pct"))
 
 
 def process(counters: DataFrame, n_cpu: int, keys: Sequence[str] = ("pid",), order: Sequence[str] = ("ts_ns",)) -> DataFrame:
     """cpu_pct of proc and sys times; 0 without a baseline."""
-    lag = _before(keys, order)
+    rows, lag = with_previous(counters, keys, order, ["proc", "sys"]), _of_before
     p, s = F.col("proc") - lag("proc"), F.col("sys") - lag("sys")
-    return counters.select(*keys, *order, F.coalesce(F.when(s > 0, p / s * n_cpu * 100.0), F.lit(0.0)).alias("cpu_pct"))
+    return rows.select(*keys, *order, F.coalesce(F.when(s > 0, p / s * n_cpu * 100.0), F.lit(0.0)).alias("cpu_pct"))
 
 
 def filesystem_used(total: Column, free: Column) -> Column:
@@ -62,7 +77,6 @@ def threshold_split(samples: DataFrame, threshold: float) -> tuple[DataFrame, Da
 
 def transitions(states: DataFrame, keys: Sequence[str] = ("target",), order: Sequence[str] = ("ts_ns",)) -> DataFrame:
     """keys, order, up, outage_ms: a row where up changes; when it comes back, the milliseconds since it went."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    changed = states.withColumn("was", F.lag("up").over(w)).where(F.col("was").isNotNull() & (F.col("up") != F.col("was")))
-    went = F.lag("ts_ns").over(w)
-    return changed.select(*keys, *order, "up", F.when(F.col("up"), F.call_function("div", F.col("ts_ns") - went, F.lit(1_000_000).cast("long"))).alias("outage_ms"))
+    changed = with_previous(states, keys, order, ["up"]).where(F.col("up") != F.col("before.up")).select(*keys, *order, "up")
+    both = with_previous(changed, keys, order, ["ts_ns"], name="went")
+    return both.select(*keys, *order, "up", F.when(F.col("up"), F.call_function("div", F.col("ts_ns") - F.col("went.ts_ns"), F.lit(1_000_000).cast("long"))).alias("outage_ms"))

@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates, timeutil
+from . import quantiles
 from .filters import time_range
 
 KEYS = ("db", "metric")
+#: The width up to which a window's values are held in one buffer.
+BUFFERED_NS = timeutil.DAY_NS
 
 
 def bucket(ts_ns: Column, window_ns: int) -> Column:
@@ -32,12 +35,16 @@ def check_window(window_ns: int) -> int:
 def window_wide(samples: DataFrame, window_ns: int, names: str | Sequence[str], start_ns: int | None = None, end_ns: int | None = None, keys: Sequence[str] = KEYS) -> DataFrame:
     """keys, start_ts_ns, end_ts_ns and a column per aggregate, for windows that have samples.
 
+    Percentiles and trimmed means hold a window's values in one buffer up to a day's width; wider windows are counted by cell, with the same results.
     Ends are clipped to the range, whose end is inclusive: a sample at the end that opens a window gives one whose start is its end.
     """
     check_window(window_ns)
     resolved = aggregates.resolve(names)
     rows = time_range(samples, start_ns, end_ns)
-    g = rows.groupBy(*keys, bucket(F.col("ts_ns"), window_ns).alias("bucket")).agg(*aggregates.columns(resolved, F.col("value")))
+    if window_ns > BUFFERED_NS and any(n in aggregates.PERCENTILES or n in aggregates.TRIMMED for n in resolved):
+        g = quantiles.wide(rows.withColumn("bucket", bucket(F.col("ts_ns"), window_ns)), [*keys, "bucket"], resolved)
+    else:
+        g = rows.groupBy(*keys, bucket(F.col("ts_ns"), window_ns).alias("bucket")).agg(*aggregates.columns(resolved, F.col("value")))
     start, end = F.col("bucket"), F.col("bucket") + F.lit(window_ns).cast("long")
     start = start if start_ns is None else F.greatest(start, F.lit(start_ns).cast("long"))
     end = end if end_ns is None else F.least(end, F.lit(end_ns).cast("long"))

@@ -40,8 +40,8 @@ def accept(store: Store, parsed: DataFrame, kind: str = "samples", strict: bool
     aside = f"{store.root}/.incoming/{uuid.uuid4().hex}"
     schema = ", ".join(c for c in SCHEMAS[kind].split(", ") if not c.startswith("partition_key "))
     try:
-        parsed.where(F.col("error").isNull()).select(*[c for c in columns_of(kind) if c != "partition_key"]).write.parquet(aside)
-        rows = spark.read.schema(schema).parquet(aside)
+        parsed.select(*[c for c in columns_of(kind) if c != "partition_key"], "error").write.parquet(aside)
+        rows = spark.read.schema(f"{schema}, error string").parquet(aside).where("error IS NULL").drop("error")
         firsts = rows.groupBy("db", name).agg(F.min_by("value_type", "seq").alias("first"))
         states = {r["db"]: store.state(r["db"]) for r in firsts.select("db").distinct().collect()}  # databases, few
         states = {d: s for d, s in states.items() if not stream or s.batches.get(stream, -1) < batch}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,14 +43,15 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
 
 
 def report(rows: DataFrame, fmt: str = "table", limit: int = 1000) -> str:
-    """A result as a tab-separated table or JSON lines, of up to limit rows; the last line has the count of all rows and whether some are not shown."""
+    """A result as a tab-separated table or JSON lines, of up to limit rows; the last line has the count of all rows, the seconds taken and whether some are not shown."""
     if fmt not in ("table", "json"):
         raise ValueError(f"unknown format {fmt!r}")
+    began = time.perf_counter()
     wanted = rows.select(F.to_json(F.struct(*rows.columns)).alias("value")) if fmt == "json" else rows
     found = wanted.limit(limit + 1).collect()
     total, shown = rows.count() if len(found) > limit else len(found), found[:limit]
-    more = total > len(shown)
+    more, took = total > len(shown), round(time.perf_counter() - began, 3)
     if fmt == "json":
-        return "\n".join([*(r["value"] for r in shown), json.dumps({"rows": total, "shown": len(shown), "truncated": more})])
+        return "\n".join([*(r["value"] for r in shown), json.dumps({"rows": total, "shown": len(shown), "truncated": more, "seconds": took})])
     lines = ["\t".join(rows.columns)] + ["\t".join("" if v is None else str(v) for v in r) for r in shown]
-    return "\n".join([*lines, f"({total} rows, truncated to {len(shown)})" if more else f"({total} rows)"])
+    return "\n".join([*lines, f"({total} rows, truncated to {len(shown)} in {took} s)" if more else f"({total} rows in {took} s)"])

@@ -25,17 +25,19 @@ def raw(object_: Column, key: str) -> Column:
 
 
 def typed(object_: Column) -> tuple[Column, Column, Column]:
-    """Type by the literal's spelling, int and float value. Strings, booleans and nested values have no type, an error."""
-    literal = F.regexp_extract(object_, r'"value"\s*:\s*(-?\d[0-9.eE+-]*|null|true|false|"|\{|\[)', 1)
-    kind = F.when(literal == "", values.NONE).otherwise(values.json_type(literal))
-    return kind, F.when(kind == values.INT, literal.try_cast("int")), F.when(kind == values.FLOAT, literal.try_cast("float"))
+    """Type, int and float value of the object's own value field: what kind of value it is says the parsed object, whether a number is whole says its
+    spelling. An absent or null value has type none; strings, booleans and nested values have no type, an error, as has text that is no object."""
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(object_), "$.value", "variant"))
+    literal = F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), raw(object_, "value")).when(kind.isNotNull() & (kind != "VOID"), "nested")
+    type_ = F.when(F.try_parse_json(object_).isNotNull(), values.json_type(literal))
+    return type_, F.when(type_ == values.INT, literal.try_cast("int")), F.when(type_ == values.FLOAT, literal.try_cast("float"))
 
 
 def parse(rows: DataFrame, object_: str = "object", default_ts: int | None = None, max_payload: int = MAX_PAYLOAD) -> DataFrame:
     """db, name, ts_ns, value_type, int32_value, float32_value, payload, error for each object; a time of 0 or none is now."""
     now = F.lit(time.time_ns() if default_ts is None else default_ts).cast("long")
     o = F.col(object_)
-    kind, whole, real = typed(F.regexp_replace(o, r'"payload"\s*:\s*(\{[^{}]*\}|"[^"]*")', '"payload":0'))
+    kind, whole, real = typed(o)
     ts = raw(o, "ts")
     parsed = F.coalesce(timeutil.parse_timestamp_column(ts), F.lit(0).cast("long"))
     out = rows.select(

@@ -30,7 +30,8 @@ def parse(lines: DataFrame, line: str = "line", default_ts: int | None = None, d
     tail = F.substring(target, F.instr(target, "/") + 1, F.length(target))
     base = F.when(slash, F.substring_index(target, "/", 1)) if db is None else F.lit(db)
     metric = F.when(slash, tail) if db is None else F.when(slash, tail).otherwise(target)
-    out = rows.withColumns({"db": base, "metric": metric, "int32_value": values.lp_int(literal), "float32_value": F.when(~values.has_int_suffix(literal), values.lp_float(literal)), "ts_ns": F.when(F.col("lp_when") == "", F.lit(now).cast("long")).otherwise(timeutil.parse_timestamp_column(F.col("lp_when")))})
+    out = rows.withColumns({"db": base, "metric": metric, "int32_value": values.lp_int(literal), "lp_double": F.when(~values.has_int_suffix(literal), values.lp_double(literal)), "ts_ns": F.when(F.col("lp_when") == "", F.lit(now).cast("long")).otherwise(timeutil.parse_timestamp_column(F.col("lp_when")))})
+    out = out.withColumn("float32_value", values.fitted(F.col("lp_literal"), F.col("lp_double")))
     kind = F.when(F.col("int32_value").isNotNull(), values.INT).when(F.col("float32_value").isNotNull(), values.FLOAT)
     out = out.withColumns({"value_type": kind, "value": values.common_value(F.col("int32_value"), F.col("float32_value"))})
     error = (
@@ -41,7 +42,7 @@ def parse(lines: DataFrame, line: str = "line", default_ts: int | None = None, d
         .when(F.col("value_type").isNull(), "invalid value")
         .when(F.col("ts_ns").isNull(), "invalid timestamp")
     )
-    return out.withColumn("error", error).drop("lp_text", "lp_fields", "lp_target", "lp_literal", "lp_when")
+    return out.withColumn("error", error).drop("lp_text", "lp_fields", "lp_target", "lp_literal", "lp_when", "lp_double")
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
