@@ -21,14 +21,18 @@ def documents(n, seed, sources=7, hot=0.4):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3])
 def test_mix_equals_sql(spark, seed):
     rows = documents(3000, seed)
+    if seed == 3:  # repeated ids, and one that has a third of all rows
+        rows = [(i // 3, t, s) for i, t, s in rows] + [(7, "w " * 9, "s1")] * 1500 + [(None, "w w", "s2")] * 40
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
-    got = sorted((tuple(r)[:5] for r in mixing.mix_report(docs).collect()))
+    got = sorted((tuple(r)[:5] for r in mixing.mix_report(docs).collect()), key=str)
     c = duckdb.connect()
-    c.register("documents", docs.toPandas().astype({"text": object, "source": object}).where(lambda d: d.notna(), None))
-    want = sorted(c.sql(queries.OP4_SQL).fetchall())
+    rows_ = docs.toPandas()
+    rows_["doc_id"] = rows_["doc_id"].astype("Int64")
+    c.register("documents", rows_.astype({"text": object, "source": object}).where(lambda d: d.notna(), None))
+    want = sorted(c.sql(queries.OP4_SQL).fetchall(), key=str)
     assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want]
     assert all(abs(a[3] - b[3]) <= 1e-9 * max(1, b[3]) for a, b in zip(got, want))
 
@@ -49,6 +53,33 @@ def test_targets_are_reshared_and_met(spark):
     assert all(abs(taken[s] - target[s]) <= 60 for s in order)
 
 
+def test_repeated_rows_meet_the_target(spark):
+    rows = [(i, "w " * 10, "a") for i in range(1000)] + [(1, "w " * 10, "a")] * 1000 + [(5000 + i, "w " * 20, "b") for i in range(300)] + [(None, "w w w", "b")] * 500
+    got = mixing.mix_report(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 10
+
+
+def test_inclusion_follows_the_odds(spark):
+    """Over seeds, documents are taken as often as their probabilities say: k (1 + size / mean size), those above 1 always."""
+    sizes = [5, 10, 20, 40, 400] * 320
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(1000 + i, "w " * 50, s) for i in range(30) for s in "bc"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").cache()
+    seen, seeds = Counter(), 3
+    for k in range(seeds):
+        out = mixing.mix_report(docs, weights=(1, 1, 1), seed=f"s{k}").where("source = 'a'").collect()
+        part = out[0]["target"] / out[0]["source_size"]
+        assert part < 1
+        for r in out:
+            seen[r["size"]] += r["copies"]
+    mean, total = sum(sizes) / len(sizes), sum(sizes)
+    k = part * total / sum(n * (1 + n / mean) for n in sizes)
+    for n in (5, 10, 20, 40, 400):
+        p = min(1, k * (1 + n / mean))
+        assert abs(seen[n] / (320 * seeds) - p) < 5 * (p * (1 - p) / (320 * seeds)) ** 0.5 + 0.03
+
+
 def test_mixed_documents(spark, edges, clashing, nothing):
     out = mixing.mix_documents(clashing)
     assert out.columns == clashing.columns

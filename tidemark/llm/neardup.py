@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .arrowmap import map_text
-from .common import fresh, shared_table
+from .common import bit_map, fresh, maybe, shared_table
 from .components import components
 
 ROWS, MISS = 5, 1e-6
@@ -215,28 +215,6 @@ def verified(pairs: DataFrame, texts: DataFrame, how: Sketcher) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def bit_map(ids: DataFrame, per_id: int) -> tuple[DataFrame, int]:
-    """A bit map of the hashes of ids (a column id), in rows of 32,768 bits to be broadcast, and its number of bits.
-
-    It has per_id bits or more for each id, up to 2**27 (16 MB); beyond that it lets more through.
-    """
-    bits = 1 << min(27, max(18, (per_id * ids.count()).bit_length()))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    rows = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32768).alias("map_row")).agg(F.bitmap_construct_agg(F.col("p") % 32768).alias("map"))
-    return F.broadcast(rows), bits
-
-
-def maybe(rows: DataFrame, marks: tuple[DataFrame, int], name: str, keep: Sequence[str], of: str = "doc_id") -> DataFrame:
-    """Columns to keep of rows and, as a boolean of the name, whether the bit of the id in column of is set; a null id has none."""
-    id_ = F.col(f"r.{of}")
-    place = F.pmod(F.xxhash64(id_), F.lit(marks[1]))
-    r = rows.alias("r").join(marks[0].alias("m"), F.floor(place / 32768) == F.col("m.map_row"), "left")
-    within = place % 32768
-    byte = F.conv(F.hex(F.substring(F.col("m.map"), (F.floor(within / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    bit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (within % 8 + 1).cast("int")))
-    return r.select(*[F.col(f"r.`{c}`") for c in keep], (id_.isNotNull() & (F.coalesce(bit, F.lit(0)) != 0)).alias(name))
-
-
 def dealt(pairs: DataFrame) -> DataFrame:
     """pairs doc, hub with a block each: spokes of hubs that have more than BLOCK of them are spread over SPREAD blocks."""
     large = pairs.groupBy("hub").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK).select(F.col("hub").alias("id"))

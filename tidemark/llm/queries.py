@@ -83,11 +83,11 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.x = d.doc_id GROUP BY d.do
 
 OP4_SQL = f"""
 WITH d AS (
-  SELECT doc_id, source, {N_WORDS} AS size,
-         (('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, size) - 1 AS copy FROM (SELECT doc_id, source, {N_WORDS} AS size FROM documents)
+), v AS (
+  SELECT *, (('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || CASE WHEN copy > 0 THEN ':' || CAST(copy AS VARCHAR) ELSE '' END), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u FROM d
 ), s AS (
-  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows FROM d GROUP BY source
 ), w AS (
   SELECT *, list_extract([5.0::DOUBLE, 2.0, 1.0], CAST((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1 AS INT)) AS weight,
          3.0::DOUBLE * source_size AS full_size
@@ -99,19 +99,32 @@ WITH d AS (
 ), one AS (
   SELECT *, arg_min(CASE WHEN level * weight < full_size THEN level END, full_size / weight) FILTER (WHERE level * weight < full_size) OVER () AS found FROM l
 ), t AS (
-  SELECT source, source_size, CASE WHEN found IS NULL THEN full_size ELSE least(full_size, found * weight) END AS target FROM one
+  SELECT source, source_size, n_rows, CASE WHEN found IS NULL THEN full_size ELSE least(full_size, found * weight) END AS target FROM one
 ), p AS (
   SELECT *, coalesce(target / nullif(source_size, 0), 0.0) AS share FROM t
 ), r AS (
-  SELECT d.doc_id, d.size, p.source, p.source_size, p.target, floor(p.share) AS whole, p.share - floor(p.share) AS part, d.u
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+  SELECT v.doc_id, v.copy, v.size, v.u, p.source, p.source_size, p.n_rows, p.target, floor(p.share) AS whole, p.share - floor(p.share) AS part,
+         v.size * CAST(p.n_rows AS DOUBLE) / nullif(CAST(p.source_size AS DOUBLE), 0) + 1.0 AS weight
+  FROM v JOIN p ON v.source IS NOT DISTINCT FROM p.source
+), z AS (
+  SELECT source, size, count(*) AS c, any_value(n_rows) AS n_rows, any_value(source_size) AS source_size, any_value(part * source_size) AS missing, any_value(weight) AS weight
+  FROM r WHERE part > 0 AND size > 0 GROUP BY source, size
+), k AS (
+  SELECT source, size, weight, coalesce(sum(size * c) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above, missing,
+         CAST(sum(CAST(size AS HUGEINT) * size * c) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) * CAST(n_rows AS DOUBLE) / CAST(source_size AS DOUBLE)
+         + CAST(sum(size * c) OVER (PARTITION BY source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS rest
+  FROM z
+), m AS (
+  SELECT source, arg_max((missing - above) / rest, size) AS k, arg_max(above, size) AS above, max(size) AS largest FROM k WHERE (missing - above) / rest * weight < 1 GROUP BY source
 ), q AS (
-  SELECT *, (u / (1 - u)) / (CASE WHEN part > 0 THEN part / (1 - part) ELSE 1.0 END) AS odds FROM r
+  SELECT r.*, m.largest, r.part * r.source_size - coalesce(m.above, 0) AS missing, (r.part > 0 AND r.size > 0 AND r.size <= m.largest) AS drawn,
+         CASE WHEN r.part > 0 AND r.size > 0 AND r.size <= m.largest THEN (u / (1 - u)) / (m.k * r.weight / (1 - m.k * r.weight)) END AS odds
+  FROM r LEFT JOIN m ON r.source IS NOT DISTINCT FROM m.source
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds / (1 + odds), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q
+  SELECT *, sum(CASE WHEN drawn THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY odds / (1 + odds) NULLS LAST, doc_id NULLS FIRST, copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM q
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN part > 0 AND upto - size / 2.0 <= part * source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(size * (whole + CASE WHEN part > 0 AND size > largest OR drawn AND upto - size / 2.0 <= missing THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM c
 """
 
