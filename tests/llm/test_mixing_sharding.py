@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -64,7 +65,7 @@ def test_repeated_rows_meet_the_target(spark):
 def test_inclusion_follows_the_odds(spark):
     """Over seeds, documents are taken as often as their probabilities say: k (1 + size / mean size), those above 1 always."""
     sizes = [5, 10, 20, 40, 400] * 320
-    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(1000 + i, "w " * 50, s) for i in range(30) for s in "bc"]
+    rows = [(i, "w " * n, "a") for i, n in enumerate(sizes)] + [(10_000 + i, "w " * 50, s) for i in range(240) for s in "bc"]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").cache()
     seen, seeds = Counter(), 3
     for k in range(seeds):
@@ -123,6 +124,45 @@ def test_shards(spark):
     assert sorted(map(str, sharding.shard_report(docs).collect())) == sorted(map(str, got))
 
 
+def test_repeated_rows_of_one_id(spark, monkeypatch):
+    """Nine tenths of the rows are one id and text: sizes are near equal, and no slot is given twice."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 100)
+    rows = [(7, "the same text " * 9, "en", "s")] * 9000 + [(100 + i, f"text {i} " * (1 + i % 30), "en", "s") for i in range(1000)]
+    got = sharding.shard_report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").repartition(6)).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["shard"]].append(r)
+    sizes = [sum(r["size"] for r in v) for v in by.values()]
+    assert len(sizes) == 24 and max(sizes) < 1.06 * sum(sizes) / 24 and min(sizes) > 0.94 * sum(sizes) / 24
+    assert all(sorted(r["slot"] for r in v) == list(range(len(v))) for v in by.values())
+
+
+def test_shards_are_leaves_of_a_naive_tree(spark):
+    """Every split halves the shards along the dimension that is widest there, by naive coordinates: all of the left is at or below all of the right."""
+    rng = random.Random(6)
+    rows = [(i, "x" * rng.randrange(1, 3000) + str(i), rng.choice(["en", "fr", "de", None]), f"https://{rng.choice('abcdefgh')}.org") for i in range(4000)]
+    got = sharding.shard_report(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    order = [{v: i for i, v in enumerate(sorted({r[c] for r in rows if r[c] is not None}), 1)} for c in (2, 3)]
+    points = {i: (math.log2(len(t) + 8), order[0].get(lang, 0), order[1].get(source, 0)) for i, t, lang, source in rows}
+    world = [max(p[d] for p in points.values()) - min(p[d] for p in points.values()) for d in range(3)]
+    used = set()
+
+    def check(mine, low, n):
+        if n == 1:
+            return
+        width = [(max(points[r["doc_id"]][d] for r in mine) - min(points[r["doc_id"]][d] for r in mine)) / world[d] for d in range(3)]
+        d = width.index(max(width))
+        used.add(d)
+        left, right = ([r for r in mine if (r["shard"] < low + n // 2) == side] for side in (True, False))
+        assert max(points[r["doc_id"]][d] for r in left) <= min(points[r["doc_id"]][d] for r in right) + 1e-6
+        share = sum(r["size"] for r in left) / sum(r["size"] for r in mine)
+        assert abs(share - (n // 2) / n) < 0.02
+        check(left, low, n // 2), check(right, low + n // 2, n - n // 2)
+
+    check(got, 0, 24)
+    assert used == {0, 1, 2}
+
+
 def test_slots_over_several_parts(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
     docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('x', cast(id % 50 as int)) AS text", "'en' AS lang", "'s' AS source")

@@ -1,8 +1,8 @@
 """K-d tree sharding by bytes, in DataFrame operations only.
 
-Equal texts are one group; a group above a part of a shard's bytes is cut into pieces by a hash of the ids, every
-other group is one piece. A piece has a size and three metadata coordinates: size, language and source (those of the
-group's smallest). The tree splits the pieces at a weighted median along the dimension that is widest in the node,
+Equal texts are one group; a group above an eighth of a shard's bytes is cut into pieces, by a hash of the id and of the row's number among those of the same id, so that
+rows repeated under one id are spread too; every other group is one piece (pieces says how many). A piece has a size and three metadata coordinates: the
+logarithm of its size, and the ranks of its language and source (the group's smallest) among those that occur. The tree splits the pieces at a weighted median along the dimension that is widest in the node,
 until a leaf is one shard; a node of k shards gives floor(k / 2) / k of its bytes to the left. Medians are read from a
 histogram of up to 512 parts per node, made on the executors: the driver sees 24 * 512 sums and never a row. The parts
 hold about 1/512 of the node's pieces each, not of its bytes: a cut is off by at most the bytes of the part that it falls in, which may be
@@ -12,7 +12,7 @@ Slots number a shard's rows without gaps: rows are spread over parts by a hash,
 each part numbers its own rows after those of the parts before it; no task orders a whole shard.
 
 Defined results: a null text has 0 bytes plus the 8 of each row, and the crc32 of an empty text; null and empty texts
-are one group; repeated rows get slots of their own; an empty table gives an empty result; other columns are not looked at.
+are one group; a null language or source ranks first; pieces that tie in a dimension go by a hash; a very long text is one piece, which no cut divides; repeated rows get slots of their own; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import shared_table, small, unit_hash
+from .common import copy_numbers, shared_table, small, unit_hash
 
 SHARDS = 24
 ROW_BYTES = 8
@@ -46,10 +46,11 @@ class Node:
     right: int
 
 
-def leading(text: Column) -> Column:
-    """A number ordered as the first six bytes of a text; null is 0."""
-    six = F.rpad(F.hex(F.substring(F.coalesce(text, F.lit("")).cast("binary"), 1, 6)), 12, "0")
-    return F.conv(six, 16, 10).cast("double")
+def ranks(groups: DataFrame) -> DataFrame:
+    """dim (d_lang, d_source), value, rank (from 1) of the values that occur: sorted over ranges of them, and numbered after those of the ranges before."""
+    values = groups.select(F.lit("d_lang").alias("dim"), F.col("lang").alias("value")).union(groups.select(F.lit("d_source"), F.col("source"))).where("value IS NOT NULL").distinct()
+    sorted_ = values.repartitionByRange("dim", "value").sortWithinPartitions("dim", "value").withColumn("arrival", F.monotonically_increasing_id())
+    return copy_numbers(shared_table(sorted_), ["dim"], "rank").select("dim", "value", (F.col("rank") + 1).alias("rank"))
 
 
 def place(dimension: str, low: float, high: float) -> Column:
@@ -122,35 +123,46 @@ def position(key: Column, edges: list[int]) -> Column:
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, lang, source for each row of docs."""
+    """doc_id, size, text_crc32, shard, slot, lang, source, pieces for each row of docs."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = shared_table(docs.select("doc_id", "lang", "source", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g")))
+    kept = docs.select("doc_id", "lang", "source", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("g"))
+    rows = shared_table(kept.withColumn("arrival", F.monotonically_increasing_id()))
     group = ["g", "text_crc32", "size"]
-    groups = rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source"))
-    total = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+    groups = shared_table(rows.groupBy(*group).agg(F.count("*").alias("n"), F.min("lang").alias("lang"), F.min("source").alias("source")))
+    total = groups.agg(F.sum(F.col("size") * F.col("n")).alias("b"), F.sum("n").alias("n")).first()
+    n_rows = total["n"] or 0
     shard_bytes = max((total["b"] or 0) / shards, 1.0)
     held = F.col("size") * F.col("n")
-    groups = groups.withColumn("pieces", F.when(held <= shard_bytes / WHOLE, 1).otherwise(F.ceil(held / (shard_bytes / PIECE))).cast("long"))
-    groups = shared_table(groups.withColumns({"d_size": F.log2(F.col("size")), "d_lang": leading(F.col("lang")), "d_source": leading(F.col("source"))}))
-    own = groups.select(*group, "pieces", *DIMENSIONS)
-    joined = shared_table(rows.join(own, group).withColumn("piece", F.floor(unit_hash(F.col("doc_id"), F.col("g")) * F.col("pieces"))).drop("pieces"))
+    pieces_ = F.when(held <= shard_bytes / WHOLE, 1).otherwise(F.ceil(held / (shard_bytes / PIECE))).cast("long")
+    known = shared_table(ranks(groups))
+    n_known = known.count()
+    for d, c in (("d_lang", "lang"), ("d_source", "source")):
+        own = known.where(F.col("dim") == d).select(F.col("value").alias(c), F.col("rank").cast("double").alias(d))
+        groups = groups.join(small(own, n_known), c, "left")
+    groups = groups.select(*group, "n", pieces_.alias("pieces"), F.log2(F.col("size")).alias("d_size"), F.coalesce("d_lang", F.lit(0.0)).alias("d_lang"), F.coalesce("d_source", F.lit(0.0)).alias("d_source"))
+    joined = shared_table(rows.join(shared_table(groups), group))
+    # rows of large groups are numbered within their id: all others have few rows of one id and text
+    large = (F.col("pieces") > 1) | (F.col("n") > SLOT_ROWS)
+    numbered = copy_numbers(joined.where(large), ["g", "doc_id"], "copy")
+    every = joined.where(~large).withColumn("copy", F.lit(0).cast("long")).unionByName(numbered)
+    joined = shared_table(every.withColumn("piece", F.floor(unit_hash(F.col("doc_id"), F.col("g"), F.col("copy")) * F.col("pieces"))))
     pieces = shared_table(joined.groupBy("g", "piece", *DIMENSIONS).agg(F.sum("size").alias("bytes")))
     tree, numbers = grow(pieces, shards)
     names = F.create_map(*[F.lit(x) for k, v in numbers.items() for x in (k, v)])
     placed = joined.withColumn("node", walk(tree)).withColumn("shard", F.element_at(names, F.col("node")))
-    spread = max(1, -(-total["n"] // (shards * SLOT_ROWS)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "g"), F.lit(spread)).cast("int"))
-    placed = shared_table(placed.select("doc_id", "size", "text_crc32", "shard", "part", "g", "lang", "source"))
+    spread = max(1, -(-n_rows // (shards * SLOT_ROWS)))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("doc_id", "g", "copy"), F.lit(spread)).cast("int"))
+    placed = shared_table(placed.select("doc_id", "size", "text_crc32", "shard", "part", "g", "copy", "lang", "source", "pieces"))
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     before = F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")
     counts = counts.select(F.col("shard").alias("s"), F.col("part").alias("p"), before.alias("before"))
     counts = small(counts, shards * spread)
-    numbered = placed.withColumn("slot", F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "g")) - 1)
-    numbered = numbered.join(counts, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("before")).alias("slot"), "lang", "source")
+    slots = placed.withColumn("slot", F.row_number().over(W.partitionBy("shard", "part").orderBy("doc_id", "g", "copy")) - 1)
+    slots = slots.join(counts, (F.col("shard") == F.col("s")) & (F.col("part") == F.col("p")))
+    return slots.select("doc_id", "size", "text_crc32", "shard", (F.col("slot") + F.col("before")).alias("slot"), "lang", "source", "pieces")
 
 
 def shard_report(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """assign() under the law it holds: sizes of shards are near equal; no row has a shard in a grown set."""
     out = assign(docs, shards)
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source")
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "lang", "source", "pieces")
