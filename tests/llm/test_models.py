@@ -227,3 +227,62 @@ def test_an_unseen_word_scores_below_every_counted_one():
     others = pl.Others(np.full(pl.OTHERS, 4.0), np.full(pl.OTHERS, 2.0), hashes, np.array([3, 1]), 1)
     got, rare = others.log_probs(np.array([7, 7 + pl.OTHERS, 7 + 2 * pl.OTHERS], dtype=tk.U64))
     assert not rare.any() and np.allclose(got[:2], np.log([3 / 6, 1 / 6])) and got[2] < got[1] - 20
+
+
+def test_toxicity_equals_a_naive_score():
+    """From text to log odds without vectors: the mean over distinct words of the mean over a word's subwords, shrunk."""
+    from tidemark.llm import toxicity as tox
+
+    rng = np.random.default_rng(4)
+    table = rng.normal(0, 1, tox.BUCKETS)
+    model = tox.Model(table, -0.5)
+    texts = ["you absolute foool", "a b a", "", None, "Ünï ödd  wörds wörds", "x" * 40]
+    whole = {}
+    for t in texts:
+        for w in (t or "").split():
+            _, sub = tox.subwords(next(tox.tk.chunks(pa.array([w], pa.large_string()))))
+            whole[w.lower()] = table[sub.buckets].mean()
+    for t, got in zip(texts, model.logits(pa.array(texts, pa.large_string()))):
+        words = {w.lower() for w in (t or "").split()}
+        assert abs(got - (-0.5 + sum(whole[w] for w in words) / (len(words) + tox.SHRINK))) < 1e-9
+
+
+def test_few_labels_are_learned_from():
+    from tidemark.llm import toxicity as tox
+
+    texts = ["you vile grunk"] * 4 + ["what a lovely day"] * 8
+    model = tox.fit(texts, np.array([1] * 4 + [0] * 8))
+    bad, good = model.logits(pa.array(["such a grunk", "such a day"], pa.large_string()))
+    assert bad > good
+
+
+def test_language_equals_naive_votes(spark):
+    import zstandard
+
+    from tidemark.llm import language_id as li
+
+    made = {"aa": li.plain("the cat sat on the mat and the dog ran to the house " * 40).encode(), "bb": li.plain("der hund lief in das haus und die katze schlief auf der matte " * 40).encode()}
+    texts = ["the dog sat in the house and the cat ran", "die katze lief auf das haus " * 60, None, "12 ??"]
+    pred, score, _ = li.classifier(made)(pa.array(texts))
+    for t, p, s in zip(texts, pred.to_pylist(), score.to_pylist()):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (p, s) == ("und", 0.0)
+            continue
+        data, votes = li.plain(t).encode(), {}
+        for i in range(0, len(data), li.PIECE):
+            piece, sizes = data[i : i + li.PIECE], {}
+            for name, content in made.items():
+                how = zstandard.ZstdCompressionParameters.from_level(li.LEVEL, min_match=li.MATCH, write_content_size=0, write_checksum=0, write_dict_id=0)
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                sizes[name] = len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(piece))
+            best = min(sizes, key=sizes.get)
+            votes[best] = votes.get(best, 0) + len(piece)
+        assert p == max(votes, key=votes.get) and 0 < s <= 1
+
+
+def test_languages_are_bounded(spark):
+    from tidemark.llm import language_id as li
+
+    rows = [(i, "some words of a text", "en") for i in range(60)] + [(100 + i, "andere worte", f"x{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(li.learned(docs, 4096, 3)) == 3 and "en" in li.learned(docs, 4096, 1)

@@ -138,3 +138,15 @@ def test_components_random(spark):
                 todo += near[x]
     got = {r["node"]: r["component"] for r in comp.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {n: c for n, c in label.items() if n != c}
+
+
+def test_texts_under_one_id_are_placed_each(spark):
+    """One id has a text of its own and a near copy of another's: only the copy goes. Copies without an id are one."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    other, third = (" ".join(f"{c}{rng.randrange(500)}" for _ in range(90)) for c in "vu")
+    near = " ".join(base[:-1] + ["end"])
+    rows = [(1, " ".join(base)), (2, near), (3, other), (3, near), (3, other), (None, third), (None, third), (5, third), (9, "")]
+    left = sorted(((r["doc_id"], r["text"]) for r in nd.distinct_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str)
+    texts = sorted(t for _, t in left)
+    assert texts == sorted([other, third, "", next(t for t in texts if t in (near, " ".join(base)))]) and (3, other) in left and (9, "") in left

@@ -7,19 +7,20 @@ sides share has the same smallest hash in both, so it meets in a fingerprint for
 among the items' are extended: all windows around them are compared whole, as 64-bit hashes of their words. Items
 shorter than a window have no such guarantee and are looked up at every position, by length.
 
-Items are taken in blocks of at most ``block_bytes`` of text, so what is sent to executors is bounded; a benchmark
-of one block, the usual case, needs a single scan of the documents and no shuffle. More blocks mean more scans
-of the same documents, whose hits are then united per document.
+A benchmark of at most ``block_bytes`` of text, the usual case, is sent to executors as one index: a single scan of the documents and no shuffle. A larger one
+is fingerprinted on the executors, and a bit map of its fingerprints and window hashes, of 16 MB at most, is what is sent. A scan of the
+documents gives the windows that pass it, which are few, and these are joined with the items' windows by a shuffle: there is one scan whatever the
+benchmark's size, and neither it nor its hits come to the driver.
 
 Defined results: a null or empty text has no words and is clean; items without an id or without words are not
 looked for; repeated items count once per item_id; repeated documents get a row each; without items every document is
-clean; other columns are not looked at.
+clean; very long texts are gone through whole, in parts of bounded size for hashing; windows that several items share count for each; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .arrowmap import map_text
-from .common import fresh
+from .common import fresh, shared_table
 
 SPAN, GRAM = 10, 6
 #: Text of a block of items; its index takes about 40 bytes a word.
@@ -154,17 +155,15 @@ def columns(n_words: np.ndarray, n_hit: np.ndarray, items: list[list[str]], span
     return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array([digest(x) for x in items]), pa.array(n_hit > 0), pa.array(spans, span), pa.array(items, pa.list_(pa.string()))]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
-    """The items with a block number each, dealt by a hash so that blocks have about block_bytes at most."""
+def listed(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The distinct items that have an id and a text, and their bytes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull()).distinct()
-    size = items.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
-    n = max(1, -(-size // block_bytes))
-    return items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n))), n
+    return items, items.agg(F.sum(F.octet_length("text") + 16).alias("b")).first()["b"] or 0
 
 
 def scan(docs: DataFrame, keep: Sequence[str], items: DataFrame, names: Sequence[str], span: int, gram: int) -> DataFrame:
-    """docs' columns to keep and REPORT's under the given names, for one block of items."""
-    rows = items.select("item", "text").collect()  # a block, bounded by its bytes
+    """docs' columns to keep and REPORT's under the given names, for items that one index holds."""
+    rows = items.select("item", "text").collect()  # bounded by block_bytes
     index = docs.sparkSession.sparkContext.broadcast(Index.of([(r["item"], r["text"]) for r in rows], span, gram))
     parts = [p.split(" ", 1) for p in REPORT.split(", ")]
     schema = ", ".join(f"`{name}` {kind}" for name, (_, kind) in zip(names, parts))
@@ -177,33 +176,115 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, keep: Sequence[str] =
     Names that clash with those of columns to keep get an underscore.
     """
     names = [fresh(p.split(" ", 1)[0], keep) for p in REPORT.split(", ")]
-    items, n = blocks(benchmark, block_bytes)
-    if n == 1:
+    items, size = listed(benchmark)
+    if size <= block_bytes:
         return scan(docs, keep, items, names, span, gram)
-    return united(docs, keep, items, n, names, span, gram)
-
-
-def united(docs: DataFrame, keep: Sequence[str], items: DataFrame, n: int, names: Sequence[str], span: int, gram: int) -> DataFrame:
-    """The reports of n blocks as one: spans united, items put together. Documents are told apart by their content, so
-    repeated rows are one here and come back through the join."""
-    key = fresh("key", docs.columns)
-    keyed = docs.withColumn(key, F.struct(F.col("doc_id").alias("i"), F.xxhash64("text").alias("x"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("c")))
-    plain = [p.split(" ", 1)[0] for p in REPORT.split(", ")]
-    found = None
-    for b in range(n):
-        part = scan(keyed, [key], items.where(F.col("block") == b), plain, span, gram).where("contaminated").select(F.col(key).alias("k"), "spans", "items")
-        found = part if found is None else found.unionByName(part)
-    found = found.groupBy("k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto"))
-    cover = F.aggregate("spans", start, lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["past"] - F.greatest(s["first"], a["upto"]))).alias("n"), F.greatest(a["upto"], s["past"]).alias("upto")))
-    found = found.withColumn("hit", cover["n"])
-    base = scan(keyed, [*keep, *([] if key in keep else [key])], items.where(F.lit(False)), [fresh(f"z{x}", keyed.columns) for x in plain], span, gram)
-    base = base.withColumnRenamed(fresh("zn_words", keyed.columns), "counted")
-    joined = base.join(found, base[key].eqNullSafe(F.col("k")), "left")
-    got = {"n_words": F.col("counted"), "n_hit": F.coalesce("hit", F.lit(0)), "items_sha256": F.sha2(F.coalesce(F.array_join(F.col("items"), ","), F.lit("")).cast("binary"), 256), "contaminated": F.col("hit").isNotNull()}
-    got |= {"spans": F.coalesce(F.col("spans"), F.array().cast("array<struct<first:bigint,past:bigint>>")), "items": F.coalesce(F.col("items"), F.array().cast("array<string>"))}
-    got["n_items"] = F.when(F.col("hit").isNotNull(), F.size("items")).otherwise(0).cast("bigint")
-    return joined.select(*[base[f"`{c}`"] for c in keep], *[got[p].alias(name) for p, name in zip(plain, names)])
+    return joined(docs, keep, items, names, span, gram)
+
+
+#: Salts that tell fingerprints, windows and lengths apart in one bit map.
+_PRINT, _WINDOW = (tk.U64(x) for x in tk.stream(606, 2))
+MOST_BITS, MAP_ROW = 27, 32_768
+
+
+def marks(texts: pa.Array, span: int, gram: int) -> list[pa.Array]:
+    """For each item its fingerprints, and the lengths and hashes of its windows."""
+    prints, lengths, hashes = [], [], []
+    for chunk in tk.chunks(texts):
+        w = tk.words(chunk, tk.ALNUM)
+        bounds = w.bounds(len(chunk))
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            part = tk.Words(w.start[a:b], w.end[a:b], w.row[a:b], w.hash[a:b])
+            k = min(b - a, span)
+            g, whole = tk.grams(part, gram)[0], np.ones(max(b - a - span + 1, 0), dtype=bool)
+            h = np.unique(tk.grams(part, k)[0]) if k else np.empty(0, dtype=tk.U64)
+            prints.append(np.unique(g[winnow(g, whole, span - gram + 1)]).view(np.int64) if len(whole) else np.empty(0, dtype=np.int64))
+            lengths.append(k)
+            hashes.append(h.view(np.int64))
+    return [pa.array(prints, pa.list_(pa.int64())), pa.array(lengths, pa.int32()), pa.array(hashes, pa.list_(pa.int64()))]
+
+
+def bit_of(h: np.ndarray, salt: np.uint64, bits: int) -> np.ndarray:
+    return (tk.mix(h ^ salt) & tk.U64(bits - 1)).astype(np.int64)
+
+
+def passing(bitmap: np.ndarray, h: np.ndarray, salt: np.uint64) -> np.ndarray:
+    at = bit_of(h, salt, len(bitmap) * 8)
+    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def candidates(texts: pa.Array, bitmap: np.ndarray, lengths: Sequence[int], span: int, gram: int) -> list[pa.Array]:
+    """n_words, and the windows that the bit map lets pass: length, hash, first word. Long ones are looked at around fingerprints that pass."""
+    n_words, found = [], []
+    for chunk in tk.chunks(texts):
+        w = tk.words(chunk, tk.ALNUM)
+        n_words.append(w.counts(len(chunk)))
+        first_of = w.bounds(len(chunk))
+        rows: list[list[dict]] = [[] for _ in range(len(chunk))]
+        for k in lengths:
+            h, whole = tk.grams(w, k)
+            at = np.flatnonzero(whole)
+            if k == span:
+                g, width = tk.grams(w, gram)[0], span - gram + 1
+                near = winnow(g, whole, width)
+                near = near[passing(bitmap, g[near], _PRINT)]
+                at = np.unique((near[:, None] - np.arange(width)).ravel())
+                at = at[(at >= 0) & (at < len(whole))]
+                at = at[whole[at]]
+            at = at[passing(bitmap, h[at], _WINDOW ^ tk.U64(k))]
+            for i, x in zip(at.tolist(), h[at].view(np.int64).tolist()):
+                row = int(w.row[i])
+                rows[row].append({"k": k, "h": x, "first": i - int(first_of[row])})
+        found += rows
+    kind = pa.list_(pa.struct([("k", pa.int32()), ("h", pa.int64()), ("first", pa.int64())]))
+    return [pa.array(np.concatenate(n_words), pa.int64()), pa.array(found, kind)]
+
+
+def bit_rows(windows: DataFrame, items: DataFrame, span: int) -> tuple[np.ndarray, list[int]]:
+    """The bit map of the items' fingerprints and windows, 2**MOST_BITS bits at most, and the lengths of windows. Its bits are gathered on the executors."""
+    sums = items.agg(F.sum(F.size("prints") + F.size("hashes"))).first()[0] or 0
+    bits = 1 << min(MOST_BITS, max(18, (16 * sums).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [np.empty(0, dtype=np.int64)]
+            for prints, k, hashes in zip(*(b.column(i) for i in range(3))):
+                out.append(bit_of(np.array(prints.as_py(), dtype=np.int64).view(tk.U64), _PRINT, bits))
+                out.append(bit_of(np.array(hashes.as_py(), dtype=np.int64).view(tk.U64), _WINDOW ^ tk.U64(k.as_py()), bits))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)))], names=["p"])
+
+    places = items.select("prints", "k", "hashes").mapInArrow(run, "p bigint")
+    rows = places.groupBy(F.floor(F.col("p") / MAP_ROW).alias("r")).agg(F.bitmap_construct_agg(F.col("p") % MAP_ROW).alias("map")).collect()  # 16 MB at most
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        bitmap[r["r"] * (MAP_ROW // 8) : (r["r"] + 1) * (MAP_ROW // 8)] = np.frombuffer(r["map"], dtype=np.uint8)
+    return bitmap, [r["k"] for r in items.where("k > 0").select("k").distinct().orderBy("k").collect()]  # span lengths at most
+
+
+def joined(docs: DataFrame, keep: Sequence[str], items: DataFrame, names: Sequence[str], span: int, gram: int) -> DataFrame:
+    """decontamination() by a join of windows. Rows are written once with what the bit map lets pass, and known by a number from then on."""
+    marked = shared_table(map_text(items, ["item"], lambda: lambda texts: marks(texts, span, gram), "prints array<bigint>, k int, hashes array<bigint>"))
+    windows = marked.select("item", F.col("k").alias("wk"), F.explode("hashes").alias("wh")).distinct()
+    held = docs.sparkSession.sparkContext.broadcast(bit_rows(windows, marked, span))
+    row, counted, cand = (fresh(x, [*keep, *names]) for x in ("row_number", "counted", "candidates"))
+    rows = map_text(docs, keep, lambda: lambda texts: candidates(texts, *held.value, span, gram), f"`{counted}` bigint, `{cand}` array<struct<k:int,h:bigint,first:bigint>>")
+    rows = shared_table(rows.withColumn(row, F.monotonically_increasing_id()))
+    some = rows.where(F.size(F.col(f"`{cand}`")) > 0).select(F.col(f"`{row}`").alias("row"), F.explode(F.col(f"`{cand}`")).alias("c")).select("row", "c.*")
+    hits = some.join(windows, (F.col("k") == F.col("wk")) & (F.col("h") == F.col("wh")))
+    span_ = F.struct(F.col("first"), (F.col("first") + F.col("k")).alias("past"))
+    found = hits.groupBy("row").agg(F.array_sort(F.collect_set(span_)).alias("spans"), F.array_sort(F.collect_set("item")).alias("items"))
+    kind = "array<struct<first:bigint,past:bigint>>"
+    start = F.array().cast(kind)
+    last = lambda a: F.element_at(a, -1)
+    joins = lambda a, x: (F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["past"] >= x["first"])
+    longer = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["first"].alias("first"), F.greatest(last(a)["past"], x["past"]).alias("past"))))
+    united = F.aggregate("spans", start, lambda a, x: F.when(joins(a, x), longer(a, x)).otherwise(F.concat(a, F.array(F.struct(x["first"].alias("first"), x["past"].alias("past"))))).cast(kind))
+    found = found.select(F.col("row").alias("found_row"), united.alias("found_spans"), F.col("items").alias("found_items"))
+    both = rows.join(found, F.col(f"`{row}`") == F.col("found_row"), "left")
+    spans, who = F.coalesce("found_spans", F.array().cast(kind)), F.coalesce("found_items", F.array().cast("array<string>"))
+    n_hit = F.aggregate(spans, F.lit(0).cast("bigint"), lambda a, x: a + x["past"] - x["first"])
+    got = (F.col(f"`{counted}`"), n_hit, F.size(who).cast("bigint"), F.sha2(F.array_join(who, ",").cast("binary"), 256), F.col("found_row").isNotNull(), spans, who)
+    return both.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(name) for c, name in zip(got, names)])
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -7,12 +7,13 @@ chosen, of equals that of the smallest sum of sizes. So one passage that a dicti
 piece, however much it saves. Each piece won counts 1 - 2 ** -(bytes saved against the second / ``HALF``) of its bytes to the score, and a choice
 that saves less than ``MARGIN`` of the second's size over its pieces is marked as rejected.
 
-Dictionaries are learned from rows of the learning folds that have a language and letters: a hash of the
-id chooses about ``sample`` rows per language, and of each a window of ``WINDOW`` characters whose place the hash
-decides. All of a language's pieces are used, up to ``DICTIONARY`` bytes.
+Dictionaries are learned from rows of the learning folds that have a language and letters, of the ``LANGUAGES`` languages that most rows have (a bound on what
+is collected, sent, and tried on each text: a column of dirty values must not make it endless). A hash of the id chooses rows, and of each a window of
+``WINDOW`` characters whose place the hash decides, so many that a language's windows have about ``dictionary`` characters together; all that is drawn is used.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every text if no language
-was learned; repeated rows get a row each; an empty table gives an empty result; other columns are not looked at.
+was learned; a language beyond those learned is never predicted; ties go by votes, then sizes, then the name; a very long text is gone through whole, piece by piece; repeated
+rows get a row each, and may be drawn each; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .arrowmap import map_text
 from .common import fold, small, unit_hash
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE, WINDOW, DICTIONARY = 600, 400, 96 << 10
+WINDOW, DICTIONARY, LANGUAGES = 400, 96 << 10, 64
 #: Matches of three bytes count, as short texts have few longer ones.
 PIECE, LEVEL, MATCH = 512, 3, 3
 MARGIN, HALF = 0.01, 4.0
@@ -41,18 +42,18 @@ def plain(text: str) -> str:
     return f" {BETWEEN.sub(' ', text.lower()).strip()} "
 
 
-def learned(docs: DataFrame, sample: int) -> dict[str, bytes]:
+def learned(docs: DataFrame, dictionary: int, languages: int) -> dict[str, bytes]:
     """A dictionary for each language: pieces of texts, those of the smallest hashes last, as near matches are cheapest."""
     rows = docs.select("doc_id", "text", "lang").where((fold("doc_id", FOLDS) != HELD_OUT) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # one row per language
-    n = counts.count()
+    taken = F.least(F.char_length("text"), F.lit(WINDOW))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(taken).alias("chars")).orderBy(F.desc("n"), "lang").limit(languages).drop("n")
     draw = unit_hash(F.col("doc_id"), F.col("text"))
     at = (F.pmod(F.xxhash64("doc_id", F.lit("at")), F.greatest(F.char_length("text") - WINDOW, F.lit(0)) + 1) + 1).cast("int")
-    drawn = rows.join(small(counts, n), "lang").where(draw < sample / F.col("n")).select("lang", draw.alias("draw"), F.substring(F.col("text"), at, F.lit(WINDOW)).alias("piece"))
+    drawn = rows.join(small(counts, languages), "lang").where(draw < dictionary / F.col("chars")).select("lang", draw.alias("draw"), F.substring(F.col("text"), at, F.lit(WINDOW)).alias("piece"))
     found: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], -r["draw"], r["piece"])):
+    for r in sorted(drawn.collect(), key=lambda r: (r["lang"], -r["draw"], r["piece"])):  # about dictionary characters per language
         found.setdefault(r["lang"], []).append(plain(r["piece"]))
-    return {lang: "".join(pieces).encode()[-DICTIONARY:] for lang, pieces in sorted(found.items())}
+    return {lang: "".join(pieces).encode() for lang, pieces in sorted(found.items())}
 
 
 def chosen(sizes: np.ndarray, length: np.ndarray) -> tuple[int, float, float, float]:
@@ -100,8 +101,8 @@ def classifier(dictionaries: dict[str, bytes]) -> Callable[[pa.Array], list[pa.A
     return apply
 
 
-def language_ids(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def language_ids(docs: DataFrame, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> DataFrame:
     """doc_id, held_out, lang_pred, score and rejected for each row of docs."""
-    known = docs.sparkSession.sparkContext.broadcast(learned(docs, sample))
+    known = docs.sparkSession.sparkContext.broadcast(learned(docs, dictionary, languages))
     out = map_text(docs, ["doc_id"], lambda: classifier(known.value), "lang_pred string, score double, rejected boolean")
     return out.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score", "rejected")

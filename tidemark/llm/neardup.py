@@ -416,14 +416,21 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85) -> DataF
 def distinct_documents(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row of docs for each component, that of the smallest id, with the columns of docs.
 
-    Of repeated rows of one id one stays; rows of null id all stay.
+    A row is known by its id, or, where other rows have that id too or it is null, by a hash of id and text, which counts as smaller than any id. So texts
+    under one id are placed, and stay or go, each by itself; of rows equal in id and text one stays; rows of null id are as others. Texts without words are linked with
+    nothing and stay, once per id.
     """
-    found = shared_table(near_duplicates(docs, words, percent).select("doc_id", "kept").where("doc_id IS NOT NULL"))
+    names = {x: fresh(x, docs.columns) for x in ("set_bit", "row_key")}
+    again = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    own = F.xxhash64("doc_id", F.coalesce(F.col("text").cast("string"), F.lit(""))).bitwiseOR(F.lit(-(1 << 63)))
+    marked = maybe(docs, bit_map(shared_table(again), 16), names["set_bit"], docs.columns)
+    key = F.when(F.col(names["set_bit"]) | F.col("doc_id").isNull(), own).otherwise(F.col("doc_id").cast("bigint"))
+    keyed = marked.withColumn(names["row_key"], key).drop(names["set_bit"])
+    found = shared_table(near_duplicates(keyed.select(F.col(names["row_key"]).alias("doc_id"), "text"), words, percent).select("doc_id", "kept"))
     gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct()
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
-    name = fresh("set_bit", docs.columns)
-    # only rows that may be among those gone or repeated are shuffled with their texts
-    rows = maybe(docs, bit_map(gone.union(again), 8), name, docs.columns)
-    plain, other = rows.where(~F.col(name)).drop(name), rows.where(name).drop(name)
-    left = other.join(gone, F.col("doc_id") == F.col("id"), "left_anti")
-    return plain.unionByName(left.dropDuplicates(["doc_id"]))
+    equal = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("id"))
+    # only rows that may be among those gone or equal are shuffled with their texts
+    rows = maybe(keyed, bit_map(gone.union(equal), 8), names["set_bit"], keyed.columns, names["row_key"])
+    plain, other = rows.where(~F.col(names["set_bit"])).select(*[F.col(f"`{c}`") for c in docs.columns]), rows.where(names["set_bit"])
+    left = other.join(gone, F.col(names["row_key"]) == F.col("id"), "left_anti").dropDuplicates([names["row_key"]])
+    return plain.unionByName(left.select(*[F.col(f"`{c}`") for c in docs.columns]))

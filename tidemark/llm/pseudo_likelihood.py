@@ -13,7 +13,7 @@ words it saw; these are averaged by weight in a tree of ``FAN`` per step, so tha
 most, however many tasks there are. Biases start at the corpus's word frequencies, so that an untrained network is a unigram model.
 
 Defined results: a text without words, or null, has n_tokens 0, log_prob 0 and no mean; repeated rows get a row each and
-weigh in training as often; an empty table gives an empty result; other columns are not looked at.
+weigh in training as often; words that tie in count go by their hash; a very long text is scored whole, in batches of words; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -347,17 +347,17 @@ def fit(docs: DataFrame, rounds: int = ROUNDS, seed: int = 5) -> tuple[Vocabular
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, n_tokens, log_prob (natural, summed over the words) and mean_log_prob for each row of docs."""
+    """doc_id, mean_log_prob, log_prob (natural, summed over the words) and n_tokens for each row of docs."""
     *model, counts = fit(docs, rounds)
     others = model[2]
     held = docs.sparkSession.sparkContext.broadcast(tuple(model))
     scored = map_text(docs, ["doc_id"], lambda: scorer(*held.value), "n_tokens bigint, log_prob double, mean_log_prob double, rare array<bigint>")
     if others.least == 1:
-        return scored.drop("rare")
+        return scored.select("doc_id", "mean_log_prob", "log_prob", "n_tokens")
     scored = shared_table(scored.withColumn("row", F.monotonically_increasing_id()))
     words = scored.select("row", F.explode("rare").alias("hash")).join(counts.where(F.col("n") < others.least), "hash", "left")
     unseen = F.element_at(F.array(*[F.lit(float(x)) for x in others.log_unseen]), (F.pmod("hash", F.lit(OTHERS)) + 1).cast("int"))
     more = words.groupBy("row").agg(F.sum(F.coalesce(F.log(F.col("n").cast("double")), unseen)).alias("more"))
     whole = F.col("log_prob") + F.coalesce("more", F.lit(0.0))
     out = scored.drop("rare").join(more, "row", "left").withColumn("log_prob", whole)
-    return out.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
+    return out.select("doc_id", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"), "log_prob", "n_tokens")

@@ -9,7 +9,7 @@ per feature and pair, added up for whole batches at once.
 Up to ``sample`` labelled rows of the learning folds are fitted (chosen by a hash of the id). Without labels the
 score is 0.5; with one class it is near that class.
 
-Defined results: null and empty texts are scored by their counts of zero; repeated rows get a row each; an empty table
+Defined results: null and empty texts are scored by their counts of zero; equal texts tie; very long texts are counted whole; repeated rows get a row each; an empty table
 gives an empty result; other columns are not looked at.
 """
 

@@ -9,7 +9,7 @@ conditions over the counts, with their text as rule.
 Up to ``sample`` labelled rows are fitted (chosen by a hash of the id). Without labels, or without two classes,
 the list is empty and only the base rules reject.
 
-Defined results: null and empty texts have no words and fail the base rules; repeated rows get a row each; an empty table
+Defined results: null and empty texts have no words and fail the base rules; equal texts tie, the first of equal conditions in the list of features is taken; very long texts are counted whole; repeated rows get a row each; an empty table
 gives an empty result; other columns are not looked at.
 """
 

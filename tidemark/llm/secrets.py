@@ -9,7 +9,8 @@ words, or ascend as in an alphabet), of numbers only, or with a placeholder; UUI
 in it is one. A candidate that overlaps a pattern's span adds nothing.
 
 All spans are in code points of the whole text, the end exclusive. Defined results: a null text is taken as empty; texts without
-spans get the digest of an empty string; repeated rows get a row each; other columns are not looked at.
+spans get the digest of an empty string; spans of one start go by their kind; very long texts are gone through whole; repeated rows get a row each; an empty
+table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations

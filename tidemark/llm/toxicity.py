@@ -7,10 +7,10 @@ that was never seen shares most n-gram vectors with the insult. As the softmax i
 to the log odds is one number; texts are scored by looking those up, whole batches at once.
 
 Up to ``sample`` labelled rows of the learning folds, and up to ``SAMPLE_BYTES`` of their texts, are fitted (chosen by a
-hash of the id). Without labels the score is 0.5; with one class it is near that class's share.
+hash of the id; a text that alone is longer is not). Only subwords that the labelled texts say something of are trained, others stay at zero: they would learn the sample by heart. Without labels the score is 0.5; with one class it is near that class's share.
 
 Defined results: null and empty texts, which have no words, get the score of the intercept; repeated rows get a row
-each; ids that are labelled both ways are not learned from; an empty table gives an empty result; other columns are
+each; equal texts tie; a very long text is scored whole, in parts that end where a word does; ids that are labelled both ways are not learned from; an empty table gives an empty result; other columns are
 not looked at.
 """
 
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from . import textkernel as tk
 from .arrowmap import map_text
 from .common import fold, unit_hash
@@ -172,7 +173,7 @@ def entries(chunk: tk.Chunk, wanted: np.ndarray | None = None) -> tuple[np.ndarr
 
 
 def speaking(texts: pa.Array, y: np.ndarray) -> np.ndarray:
-    """Buckets whose share of texts differs between the classes by LEAST_Z standard errors.
+    """Buckets whose share of texts differs between the classes by LEAST_Z standard errors, or by fewer where there are few texts.
 
     Others, nearly all, would only learn the sample's texts by heart, and keep embeddings of zero.
     """
@@ -186,7 +187,8 @@ def speaking(texts: pa.Array, y: np.ndarray) -> np.ndarray:
         return np.zeros(BUCKETS, dtype=bool)
     p = seen.sum(axis=0) / n.sum()
     z = (seen[1] / n[1] - seen[0] / n[0]) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n).sum())
-    return (np.abs(z) >= LEAST_Z) & (seen.sum(axis=0) >= LEAST_TEXTS)
+    # a bucket that tells n texts apart entirely is sqrt(n) standard errors off: with few labels less is asked
+    return (np.abs(z) >= min(LEAST_Z, np.sqrt(n.sum()) / 3)) & (seen.sum(axis=0) >= min(LEAST_TEXTS, 1 + n.sum() / 20))
 
 
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Model:
@@ -232,12 +234,18 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 3) -> Model:
 GAIN = 100.0
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, sample: int, most_bytes: int) -> tuple[list[str], np.ndarray]:
-    """About sample labelled texts at most, of about most_bytes bytes together at most."""
+    """About sample labelled texts at most, in an order that a hash of the id decides, as long as they have most_bytes bytes together; longer ones are passed over."""
     ids = labelled_ids(labels, label, sample)
     draw = unit_hash(F.col("doc_id"), F.lit(f"{label} text"))
     texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(ids, "doc_id")
-    size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    rows = texts.where(draw < min(1.0, most_bytes / max(size, 1))).toPandas().sort_values(["doc_id", "text"])
+    sizes = texts.select("doc_id", draw.alias("draw"), F.octet_length("text").alias("b")).where(F.col("b") <= most_bytes).collect()  # a row per text of the sample
+    left, taken = most_bytes, set()
+    for r in sorted(sizes, key=lambda r: (r["draw"], r["doc_id"], r["b"])):
+        if r["b"] <= left:
+            taken.add((r["doc_id"], r["b"]))
+            left -= r["b"]
+    chosen = shared.local(docs.sparkSession, sorted(taken), f"id {docs.schema['doc_id'].dataType.simpleString()}, b int")
+    rows = texts.join(chosen, (F.col("doc_id") == F.col("id")) & (F.octet_length("text") == F.col("b"))).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"])
     return rows["text"].tolist(), rows["y"].to_numpy(dtype=int)
 
 
