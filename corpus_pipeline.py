@@ -6,7 +6,9 @@
 4. Mixing sources to target weights: documents are left out or repeated as the mix takes them.
 5. Sharding: every row of the mix gets a shard and a slot.
 
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever these are called, and each has its operator's defined results: null and empty texts fail the quality rules;
+of rows equal in id and text one stays, and texts under one id are placed each; very long texts are gone through whole; ties go by id or a hash of it; an empty table passes as an
+empty one through every stage.
 """
 
 from __future__ import annotations
