@@ -41,12 +41,12 @@ def test_every_query_has_sql():
     assert set(catalogue.QUERIES) == set(catalogue.SQL)
 
 
-def test_event_json_all_reads_the_whole_table(spark):
+def test_event_json_reads_the_whole_table(spark):
     sf = "/root/testdata/sf0.01"
     c = duckdb.connect()
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
-    df = catalogue.QUERIES["event_json_all"](spark, sf)
+    df = catalogue.QUERIES["event_json"](spark, sf)
     got = df.collect()
     assert len(got) == c.sql("SELECT count(*) FROM events").fetchall()[0][0] == 10_000
-    want = c.sql(catalogue.SQL["event_json_all"])
+    want = c.sql(catalogue.SQL["event_json"])
     assert bag(got, df.columns) == bag(want.fetchall(), [d[0] for d in want.description])
