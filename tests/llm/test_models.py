@@ -182,6 +182,29 @@ def test_training_beats_word_frequencies(spark):
         pseudo_likelihood.BATCH = old
 
 
+def test_language_model_does_not_depend_on_the_layout(spark, monkeypatch):
+    """Several parts and two levels of averages; rows repeated, and in other orders and splits of the table."""
+    monkeypatch.setattr(pl, "PART", 50)
+    monkeypatch.setattr(pl, "FAN", 4)
+    rows = [r[:2] for r in speech(60, 9)] + [(7, "ta remi lo lo")] * 40 + [(None, "su su neka"), (None, None), (60, "")]
+    random.Random(1).shuffle(rows)
+    one, other = (spark.createDataFrame(r, "doc_id bigint, text string").repartition(n) for r, n in ((rows, 1), (rows[::-1], 7)))
+    p, q = (pl.fit(df, 2)[1] for df in (one, other))
+    assert all(np.array_equal(p[k], q[k]) for k in pl.SHAPES)
+    first = pl.start(one, 5)[1]
+    assert any(not np.array_equal(p[k], first[k]) for k in pl.SHAPES)
+
+
+def test_rows_weigh_in_gradients_as_often_as_they_occur():
+    rng = np.random.default_rng(4)
+    p = {k: rng.normal(0, 0.3, s) for k, s in pl.SHAPES.items()}
+    t = rng.integers(0, pl.SIZE, 6)
+    c = pl.context(t, np.zeros(6, dtype=int))
+    times = np.array([1, 3, 1, 1, 2, 1])
+    weighed, repeated = pl.gradients(p, t, c, times.astype(float)), pl.gradients(p, np.repeat(t, times), np.repeat(c, times, axis=0))
+    assert all(np.allclose(weighed[k], repeated[k], atol=1e-6) for k in pl.SHAPES)
+
+
 def test_language_model_edges(spark, edges, clashing, nothing):
     rows = pl.lm_scores(edges).collect()
     assert len(rows) == edges.count()

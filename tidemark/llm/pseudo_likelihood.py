@@ -7,10 +7,14 @@ the class. A document's score is the sum of its words' conditional log-probabili
 The vocabulary of the network is the most frequent words of all documents; every other word is one of ``OTHERS`` hash buckets to it, and
 is scored as log p(bucket) + log p(word | bucket). Word counts are taken over the whole corpus: of a bucket with N words, D of them
 distinct, a word that occurs n times has n / (N + D), and D / (N + D) is the share of unseen words, spread over the bucket's hashes. Every
-task holds the counts of up to ``HELD`` words, the most frequent; those of rarer words are joined, so that no word is left out. Training sees every document once: in each of ``ROUNDS`` rounds every task starts from the
-common parameters, goes through those of its documents whose turn it is, in minibatches, and gives its parameters with the number of
-words it saw; these are averaged by weight in a tree of ``FAN`` per step, so that the driver gets FAN sets of parameters at
-most, however many tasks there are. Biases start at the corpus's word frequencies, so that an untrained network is a unigram model.
+task holds the counts of up to ``HELD`` words, the most frequent; those of rarer words are joined, so that no word is left out.
+
+Training sees every document once. A hash of its id and text says in which of ``ROUNDS`` rounds and in which part of the round: a part for each ``PART`` words of
+the corpus, ``MOST_PARTS`` at most, of more words beyond that. Every part starts from the common parameters, goes through its documents in order of
+the hash, in minibatches, and gives its parameters with the number of words it saw; these are averaged by weight, in order of the parts, in a tree
+of ``FAN`` per step, so that the driver gets FAN sets of parameters at most. Scores thus follow from the rows and not from how a table is split into files or tasks. Rows equal in id and text are put
+together before the shuffle and count by their number, so that no part is large for them. Biases start at the corpus's word frequencies, so that
+an untrained network is a unigram model.
 
 Defined results: a text without words, or null, has n_tokens 0, log_prob 0 and no mean; repeated rows get a row each and
 weigh in training as often; words that tie in count go by their hash; a very long text is scored whole, in batches of words; an empty table gives an empty result; other columns are not looked at.
@@ -18,9 +22,11 @@ weigh in training as often; words that tie in count go by their hash; a very lon
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +44,7 @@ KNOWN = SIZE - OTHERS
 #: Words whose counts every task holds, 16 bytes each, and the log-probability of a hash among those of its bucket.
 HELD, LOG_HASH = 1 << 20, -(64 * np.log(2) - np.log(OTHERS))
 ROUNDS, BATCH, RATE, FAN = 3, 8192, 0.01, 16
+PART, MOST_PARTS = 1 << 19, 1 << 14
 SHAPES = {"e": (SIZE + 1, DIM), "w": (2 * SIDE * DIM, HIDDEN), "b": (HIDDEN,), "c": (HIDDEN, CLASSES), "cb": (CLASSES,), "o": (CLASSES, HIDDEN, PER_CLASS), "ob": (CLASSES, PER_CLASS)}
 Params = dict[str, np.ndarray]
 
@@ -57,10 +64,11 @@ def unpacked(data: bytes) -> Params:
 
 @dataclass
 class Vocabulary:
-    """Known words' hashes in order, and the id of each: ids are by falling count, so that classes go by frequency."""
+    """Known words' hashes in order, the id of each, and how many words the documents have: ids are by falling count, so that classes go by frequency."""
 
     hashes: np.ndarray
     ids: np.ndarray
+    words: int
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         """Ids of hashes: one look into a table by their first 16 bits, a search where several known words share those."""
@@ -163,21 +171,21 @@ def log_probs(p: Params, tokens: np.ndarray, around: np.ndarray) -> np.ndarray:
     return out
 
 
-def gradients(p: Params, t: np.ndarray, c: np.ndarray) -> Params:
-    """Of the mean negative log-probability of a batch."""
-    n = np.float32(len(t))
+def gradients(p: Params, t: np.ndarray, c: np.ndarray, weight: np.ndarray | None = None) -> Params:
+    """Of the mean negative log-probability of a batch, by weight if there is one."""
+    share = np.full((len(t), 1), np.float32(1 / len(t))) if weight is None else (weight / weight.sum()).astype(np.float32)[:, None]
     x = p["e"][c].reshape(len(t), -1)
     h = np.tanh(x @ p["w"] + p["b"])
     g = {k: np.zeros_like(v) for k, v in p.items()}
     d = np.exp(log_softmax(h @ p["c"] + p["cb"]))
     d[np.arange(len(t)), t // PER_CLASS] -= 1
-    d /= n
+    d *= share
     g["c"], g["cb"] = h.T @ d, d.sum(axis=0)
     dh = d @ p["c"].T
     for k, own in by_class(t):
         d = np.exp(log_softmax(h[own] @ p["o"][k] + p["ob"][k]))
         d[np.arange(len(own)), t[own] % PER_CLASS] -= 1
-        d /= n
+        d *= share[own]
         g["o"][k], g["ob"][k] = h[own].T @ d, d.sum(axis=0)
         dh[own] += d @ p["o"][k].T
     dz = dh * (1 - h * h)
@@ -190,17 +198,42 @@ def gradients(p: Params, t: np.ndarray, c: np.ndarray) -> Params:
 
 
 class Trainer:
-    """Adam from given parameters."""
+    """Adam from given parameters, over documents in the order in which they come."""
 
     def __init__(self, p: Params):
-        self.p, self.step, self.seen = p, 0, 0
+        self.p, self.step, self.seen = p, 0, 0.0
+        self.left: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.waiting: list[tuple[np.ndarray, int]] = []
+        self.n = 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.q = {k: np.zeros_like(v) for k, v in p.items()}
 
-    def learn(self, tokens: np.ndarray, around: np.ndarray) -> None:
+    def add(self, tokens: np.ndarray, times: int) -> None:
+        """A document, and how often it counts."""
+        self.waiting.append((tokens, times))
+        self.n += len(tokens)
+        if self.n >= BATCH:
+            self.go(False)
+
+    def go(self, last: bool) -> None:
+        """Learn whole batches of what waits, and the rest too if it is the last."""
+        if self.waiting:
+            n = [len(t) for t, _ in self.waiting]
+            t = np.concatenate([t for t, _ in self.waiting]).astype(np.int64)
+            self.left.append((t, context(t, np.repeat(np.arange(len(n)), n)), np.repeat([float(k) for _, k in self.waiting], n)))
+        if not self.left:
+            return
+        t, c, w = (np.concatenate(x) for x in zip(*self.left))
+        upto = len(t) if last else len(t) - len(t) % BATCH
+        for at in range(0, upto, BATCH):
+            to = min(at + BATCH, upto)
+            self.learn(t[at:to], c[at:to], w[at:to])
+        self.left, self.waiting, self.n = [(t[upto:], c[upto:], w[upto:])], [], len(t) - upto
+
+    def learn(self, tokens: np.ndarray, around: np.ndarray, weight: np.ndarray) -> None:
         self.step += 1
-        self.seen += len(tokens)
-        for k, g in gradients(self.p, tokens, around).items():
+        self.seen += weight.sum()
+        for k, g in gradients(self.p, tokens, around, weight).items():
             self.m[k] += 0.1 * (g - self.m[k])
             self.q[k] += 0.01 * (g * g - self.q[k])
             rate = RATE * np.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
@@ -256,6 +289,7 @@ def start(docs: DataFrame, seed: int) -> tuple[Vocabulary, Params, Others, DataF
         n[KNOWN + r["hash"] % OTHERS] -= r["n"]
         distinct[r["hash"] % OTHERS] -= 1
     others = Others(n[KNOWN:].copy(), distinct, *held_counts(counts))
+    words = int(n.sum())
     n = np.maximum(n, 0) + 0.5
     rng = np.random.default_rng(seed)
     p = {k: rng.normal(0, 0.1, s).astype(np.float32) for k, s in SHAPES.items()}
@@ -264,56 +298,87 @@ def start(docs: DataFrame, seed: int) -> tuple[Vocabulary, Params, Others, DataF
     p["cb"] = np.log(of_class.sum(axis=1) / n.sum()).astype(np.float32)
     p["ob"] = np.log(of_class / of_class.sum(axis=1, keepdims=True)).astype(np.float32)
     order = np.argsort(hashes.view(tk.U64))
-    return Vocabulary(hashes.view(tk.U64)[order], order.astype(np.int64)), p, others, counts
+    return Vocabulary(hashes.view(tk.U64)[order], order.astype(np.int64), words), p, others, counts
+
+
+LEARNED = "part int, weight double, params binary"
+
+
+def learned(part: int, weight: float, params: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(weight)]), pa.array([params], pa.binary())], names=["part", "weight", "params"])
+
+
+def dealt(docs: DataFrame, held, turn: int, rounds: int, parts: int) -> DataFrame:
+    """part, key, tokens, times of the documents whose turn it is, those of a part in order in one task; 2 bytes a word, rows equal in a batch once."""
+    key = F.xxhash64("doc_id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = held.value[0]
+        for b in batches:
+            part, keys = b.column(0).to_pylist(), b.column(1).to_pylist()
+            times: dict[tuple[int, int, bytes], int] = {}
+            for chunk in tk.chunks(b.column(2)):
+                w = tk.words(chunk, tk.FOLDED)
+                ids = words.tokens(w.hash).astype("<i2")
+                ends = np.cumsum(w.counts(len(chunk)))
+                for i, (at, to) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist()), chunk.first):
+                    if at < to:
+                        row = part[i], keys[i], ids[at:to].tobytes()
+                        times[row] = times.get(row, 0) + 1
+            kinds = (pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([*[pa.array([r[i] for r in times], k) for i, k in enumerate(kinds)], pa.array(list(times.values()), pa.int64())], names=["part", "key", "tokens", "times"])
+
+    mine = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("key", key).where(F.pmod("key", F.lit(rounds)) == turn)
+    mine = mine.select(F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int").alias("part"), "key", "text")
+    tokens = mine.mapInArrow(run, "part int, key bigint, tokens binary, times bigint")
+    return tokens.repartitionById(parts, "part").sortWithinPartitions("part", "key", "tokens")
 
 
 def trained(docs: DataFrame, vocabulary: Vocabulary, p: Params, turn: int, rounds: int) -> Params:
     """The parameters after one round over the documents whose turn it is."""
     held = docs.sparkSession.sparkContext.broadcast((vocabulary, packed(p)))
+    n = max(1, min(MOST_PARTS, -(-vocabulary.words // (rounds * PART))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, data = held.value
-        trainer = Trainer(unpacked(data))
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        n = 0
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, bytes, int]]:
+        """part, tokens, times; equal rows, which are neighbours, once."""
+        last, times = None, 0
         for b in batches:
-            for chunk in tk.chunks(b.column(0)):
-                w = tk.words(chunk, tk.FOLDED)
-                if not len(w):
-                    continue
-                t = words.tokens(w.hash)
-                kept.append((t, context(t, w.row)))
-                n += len(t)
-                while n >= BATCH:
-                    t, c = (np.concatenate(x) for x in zip(*kept))
-                    trainer.learn(t[:BATCH], c[:BATCH])
-                    kept, n = [(t[BATCH:], c[BATCH:])], n - BATCH
-        if n:
-            trainer.learn(*(np.concatenate(x) for x in zip(*kept)))
-        if trainer.seen:
-            yield pa.RecordBatch.from_arrays([pa.array([float(trainer.seen)]), pa.array([packed(trainer.p)], pa.binary())], names=["weight", "params"])
-
-    mine = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(rounds)) == turn) if rounds > 1 else docs
-    parts = shared_table(mine.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "weight double, params binary"))
-    n = parts.count()
+            for part, key, tokens, k in zip(*(c.to_pylist() for c in b.columns)):
+                if (part, key, tokens) != last:
+                    if last:
+                        yield last[0], last[2], times
+                    last, times = (part, key, tokens), 0
+                times += k
+        if last:
+            yield last[0], last[2], times
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in groupby(documents(batches), key=itemgetter(0)):
+            trainer = Trainer(unpacked(held.value[1]))
+            for _, tokens, times in rows:
+                trainer.add(np.frombuffer(tokens, dtype="<i2"), times)
+            trainer.go(True)
+            yield learned(part, trainer.seen, packed(trainer.p))
+
+    parts = shared_table(dealt(docs, held, turn, rounds, n).mapInArrow(run, LEARNED))
     while n > FAN:
         n = -(-n // FAN)
-        parts = shared_table(parts.repartition(n).mapInArrow(averaged, "weight double, params binary"))
-    rows = parts.collect()  # FAN at most
+        groups = parts.withColumn("group", F.floor(F.col("part") / FAN).cast("int")).repartitionById(n, "group").sortWithinPartitions("part")
+        parts = shared_table(groups.drop("group").mapInArrow(averaged, LEARNED))
+    rows = sorted(parts.collect(), key=lambda r: r["part"])  # FAN at most
     if not rows:
         return p
-    return unpacked(next(averaged([pa.RecordBatch.from_arrays([pa.array([r["weight"] for r in rows]), pa.array([bytes(r["params"]) for r in rows], pa.binary())], names=["weight", "params"])])).column(1)[0].as_py())
-
-
-def averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row: the parameters' mean by weight, one row at a time in memory."""
-    total, weight = None, 0.0
-    for b in batches:
-        for w, data in zip(b.column(0).to_pylist(), b.column(1)):
-            v = np.frombuffer(data.as_py(), dtype=np.float32).astype(np.float64) * w
-            total, weight = v if total is None else total + v, weight + w
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([weight]), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], names=["weight", "params"])
+    return unpacked(next(averaged(learned(r["part"], r["weight"], bytes(r["params"])) for r in rows)).column(2)[0].as_py())
+
+
+def averaged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each FAN parts, which come in order: the parameters' mean by weight, one row at a time in memory."""
+    rows = ((part // FAN, w, data.as_py()) for b in batches for part, w, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)))
+    for group, of_group in groupby(rows, key=itemgetter(0)):
+        total, weight = 0.0, 0.0
+        for _, w, data in of_group:
+            total, weight = total + np.frombuffer(data, dtype=np.float32).astype(np.float64) * w, weight + w
+        yield learned(group, weight, (total / weight).astype(np.float32).tobytes())
 
 
 def scorer(vocabulary: Vocabulary, p: Params, others: Others):
