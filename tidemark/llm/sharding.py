@@ -32,6 +32,8 @@ PARTS, SLOT_ROWS = 512, 20_000
 #: A group above 1 / WHOLE of a shard is cut into pieces of 1 / PIECE of a shard.
 WHOLE, PIECE = 8, 64
 DIMENSIONS = ("d_size", "d_lang", "d_source")
+#: The keys that bound the parts.
+QUANTILES = f"percentile_approx(key, array({', '.join(f'{i / PARTS!r}D' for i in range(1, PARTS))}), {20 * PARTS})"
 
 
 @dataclass(frozen=True)
@@ -95,12 +97,12 @@ def grow(pieces: DataFrame, shards: int) -> tuple[dict[int, Node], dict[int, int
             chosen[k] = (best, r[f"{best}_min"], r[f"{best}_max"])
         key = F.coalesce(*[F.when(F.col("node") == k, place(*c)) for k, c in chosen.items()])
         keyed = here.select("node", "bytes", key.alias("key"))
-        points = F.percentile_approx("key", [i / PARTS for i in range(1, PARTS)], 20 * PARTS)
-        edges = {r["node"]: sorted(set(r["edges"])) for r in keyed.groupBy("node").agg(points.alias("edges")).collect()}
+        found = keyed.groupBy("node").agg(F.array_sort(F.array_distinct(F.expr(QUANTILES))).alias("edges")).collect()  # 24 rows of PARTS numbers at most
+        edges = {r["node"]: r["edges"] for r in found}
         sums: dict[int, dict[int, int]] = {}
         if edges:
-            part = F.coalesce(*[F.when(F.col("node") == k, position(F.col("key"), e)) for k, e in edges.items()])
-            for r in keyed.groupBy("node", part.alias("part")).agg(F.sum("bytes").alias("b")).collect():  # 24 * PARTS rows at most
+            own = F.coalesce(*[F.when(F.col("node") == k, F.expr(f"array({', '.join(f'{v}L' for v in e)})")) for k, e in edges.items()])
+            for r in keyed.groupBy("node", position(F.col("key"), own).alias("part")).agg(F.sum("bytes").alias("b")).collect():  # 24 * PARTS rows at most
                 sums.setdefault(r["node"], {})[r["part"]] = r["b"]
         following: dict[int, int] = {}
         for k, n in open_nodes.items():
@@ -117,9 +119,10 @@ def grow(pieces: DataFrame, shards: int) -> tuple[dict[int, Node], dict[int, int
     return tree, {k: i for i, k in enumerate(sorted(leaves, key=lambda k: f"{k:b}"))}
 
 
-def position(key: Column, edges: list[int]) -> Column:
-    """How many edges are below the key."""
-    return F.array_size(F.filter(F.array(*[F.lit(v) for v in edges]), lambda v: v < key))
+def position(key: Column, edges: Column) -> Column:
+    """How many of the sorted edges, fewer than PARTS, are below the key: halving steps, each of which goes ahead if the edge that it reaches is below."""
+    steps = F.expr(f"array({', '.join(str(PARTS >> i) for i in range(1, PARTS.bit_length()))})")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(edges, at + step - 1) < key, at + step).otherwise(at))
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
